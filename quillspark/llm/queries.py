@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship_package, table
 from .residue import template_residue
 from .survivor import filled_survivors, survivors
+from .textstats import text_quality
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,5 +28,19 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return filled_survivors(table(spark, d, "stories"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_verdicts, p2_found, p2_survivors)}
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
+    return text_quality(table(spark, d, "combined_all_columns"), table(spark, d, "common_words"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).filter("not is_prose").select("row_id")
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's text statistics, distance, contributions and verdict."""
+    return _quality(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_verdicts, p2_found, p2_survivors, p6_found, p6_statistics)}
 SQL: dict[str, str] = {}
