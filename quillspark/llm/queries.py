@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ship_package, table
+from ..session import saved, ship_package, table
+from .bpe import encode_corpus
+from .packing import pack
+from .reading import reading_levels
 from .residue import template_residue
 from .survivor import filled_survivors, survivors
 from .textstats import text_quality
@@ -42,5 +48,55 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_verdicts, p2_found, p2_survivors, p6_found, p6_statistics)}
+def _vocabulary(name: str = "byte_bpe_50k") -> str:
+    """The file of a public tokenizer; the folder is a parameter of the environment."""
+    folder = os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, f"{name}.tiktoken")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
+    return encode_corpus(table(spark, d, "documents"), _vocabulary())
+
+
+def _lengths(spark: SparkSession, d: str, tokenizer: str) -> DataFrame:
+    ship_package(spark)
+    return saved(encode_corpus(table(spark, d, "documents"), _vocabulary(tokenizer), ids=False))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's container in the packing of each target."""
+    out, lengths = None, {}
+    for t in table(spark, d, "packing_targets").orderBy("target_id").collect():  # three rows
+        if t["tokenizer"] not in lengths:
+            lengths[t["tokenizer"]] = _lengths(spark, d, t["tokenizer"])
+        one = pack(lengths[t["tokenizer"]], [t["capacity_tokens"]]).select(F.lit(t["target_id"]).alias("target_id"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p8_joint(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's container if all permitted lengths are used together."""
+    targets = table(spark, d, "packing_targets").filter("tokenizer = 'byte_bpe_50k'").collect()  # three rows
+    return pack(_lengths(spark, d, "byte_bpe_50k"), sorted({t["capacity_tokens"] for t in targets}))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), table(spark, d, "common_words"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).filter("level = 5").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's reading level, with its distribution."""
+    return _levels(spark, d)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_verdicts, p2_found, p2_survivors, p6_found, p6_statistics, p7_ids, p8_containers, p8_joint, p9_found, p9_levels)
+}
 SQL: dict[str, str] = {}

@@ -20,7 +20,10 @@ def units(text: str) -> list[tuple[str, bool]]:
     open_par: list[str] = []
 
     def close() -> None:
-        if open_par:
+        # short lines that no sentence ends are a list without marks, else they are one broken text
+        if len(open_par) >= 3 and sum(x.count(" ") + 1 for x in open_par) <= 4.5 * len(open_par) and not any(ENDS.search(x) for x in open_par):
+            out.extend((x, True) for x in open_par)
+        elif open_par:
             out.append((" ".join(open_par), False))
             open_par.clear()
 
@@ -57,7 +60,11 @@ def is_sentence(s: str, common: frozenset[str]) -> bool:
         return False
     if ENDS.search(s):
         return known >= 1 or len(words) >= 6 and sum(c.islower() for c in s) > 0.6 * n
-    return len(words) >= 8 and 0.15 <= share <= 0.75
+    if len(words) < 8 or share > 0.75 or sum(1 for c in s if not (c.isalpha() or c.isspace())) > 0.08 * n:
+        return False
+    # an unfinished clause: enough common words, or few in learned prose, which is in lower case and hardly repeats
+    learned = known >= 2 and share >= 0.06 and sum(map(len, words)) <= 13 * len(words) and sum(w[0].isupper() for w in words) <= 0.3 * len(words) and len(set(words)) >= 0.6 * len(words)
+    return share >= 0.15 and sum(w[0].isupper() for w in words) <= 0.5 * len(words) or learned
 
 
 def weight(s: str) -> int:
