@@ -45,7 +45,7 @@ def story_features(stories: DataFrame) -> DataFrame:
         "project_id": project_number(F.col("id")),
         "trusted": F.when(F.coalesce("is_throttled", F.lit(False)), 0).otherwise(1),
         "n_chars": completeness(F.col("_t")),
-        "blank": F.coalesce(F.trim(F.regexp_replace("_t", r"\s+", " ")) == "", F.lit(True)),
+        "blank": F.coalesce(F.btrim(F.col("_t"), F.lit(" \n")) == "", F.lit(True)),
         "scraped_at": F.col("scraped_at"),
         "no_throttled": F.col("is_throttled").isNull(),
         "no_cloudflare": F.col("cloudflare_detected").isNull(),
