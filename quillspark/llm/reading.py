@@ -114,6 +114,12 @@ class Calibration:
         return self
 
 
+def _clause(s: str, words: list[str], every: frozenset[str]) -> bool:
+    """An unfinished sentence of learned words, of which few are common."""
+    plain = sum(1 for c in s if c.islower() or c.isspace()) >= 0.85 * len(s) or s.isupper()
+    return len(words) >= 8 and plain and len(set(words)) >= 0.7 * len(words) and any(w in every for w in words)
+
+
 def english_sentences(text: str, common: dict[str, frozenset[str]], every: frozenset[str]) -> tuple[list[list[str]], float, bool]:
     """The words of each sentence, the share of the text in sentences, and whether the text is English."""
     us = units(text)
@@ -127,7 +133,7 @@ def english_sentences(text: str, common: dict[str, frozenset[str]], every: froze
             letters += len(words)
             for k, v in common.items():
                 hits[k] += sum(1 for w in words if w in v)
-            if words and (is_sentence(s, every) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s)):
+            if words and (is_sentence(s, every) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every)):
                 out.append(words)
                 inside += weight(s)
     best = max(hits, key=lambda k: (hits[k], k == "en")) if hits else "en"

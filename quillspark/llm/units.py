@@ -21,11 +21,11 @@ def units(text: str) -> list[tuple[str, bool]]:
 
     def close() -> None:
         # short lines that no sentence ends are a list without marks, else they are one broken text
-        if len(open_par) >= 3 and sum(x.count(" ") + 1 for x in open_par) <= 4.5 * len(open_par) and not any(ENDS.search(x) for x in open_par):
+        if len(open_par) >= 3 and sum(map(weight, open_par)) <= 22 * len(open_par) and not any(ENDS.search(x) for x in open_par):
             out.extend((x, True) for x in open_par)
         elif open_par:
             out.append((" ".join(open_par), False))
-            open_par.clear()
+        open_par.clear()
 
     for line in text.replace("\r", "\n").split("\n"):
         s = SPACE.sub(" ", line).strip()
