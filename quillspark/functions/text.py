@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 WS_CHARS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -76,13 +78,13 @@ def vowel_groups(word: Column) -> Column:
     return F.greatest(F.regexp_count(F.lower(word), F.lit("[aeiouy]+")), F.lit(1))
 
 
-def readability(text: Column) -> dict[str, Column]:
+def readability(w: Column, n_sentences: Column) -> dict[str, Column]:
     """Flesch ease, Flesch-Kincaid grade, Gunning fog and ARI over words, sentences and vowel groups."""
-    w = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n, s = F.size(w).cast("double"), F.greatest(F.size(sentences(text)), F.lit(1)).cast("double")
-    syl = F.aggregate(w, F.lit(0), lambda a, x: a + vowel_groups(x)).cast("double")
-    hard = F.size(F.filter(w, lambda x: vowel_groups(x) >= 3)).cast("double")
-    chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("double")
+    n, s = F.size(w).cast("double"), F.greatest(n_sentences, F.lit(1)).cast("double")
+    groups = F.transform(w, vowel_groups)
+    syl = F.aggregate(groups, F.lit(0), lambda a, x: a + x).cast("double")
+    hard = F.size(F.filter(groups, lambda x: x >= 3)).cast("double")
+    chars = F.length(F.array_join(w, "")).cast("double")
     ok = lambda c: F.when(n > 0, c).otherwise(0.0)
     return {
         "flesch_reading_ease": ok(206.835 - 1.015 * (n / s) - 84.6 * (syl / n)),
@@ -97,48 +99,67 @@ def count_of(text: Column, mark: str) -> Column:
     return F.when(F.length(text) > 0, (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / F.length(text)).otherwise(0.0)
 
 
+def _like_pairs(texts: pd.Series) -> pd.Series:
+    import regex
+
+    ws = "".join(chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+    token = regex.compile(rf"[\p{{L}}\p{{N}}_]+(?:[-'’][\p{{L}}\p{{N}}_]+)*|[^\p{{L}}\p{{N}}_{ws}]")
+    stop = regex.compile(rf"[.!?]+[{ws}]+")
+
+    def one(t: str | None) -> float | None:
+        if t is None:
+            return None
+        n, counts = 0, {}
+        for s in stop.split(t):
+            if s.strip(ws):
+                n += 1
+                k = frozenset(token.findall(s.lower()))
+                counts[k] = counts.get(k, 0) + 1
+        if n < 2:
+            return 0.0
+        pairs = sum(c * (c - 1) // 2 for k, c in counts.items() if k)
+        sets = sorted(counts, key=len)
+        for i, a in enumerate(sets):
+            for b in sets[i + 1 :]:
+                if len(a) * 2 <= len(b):
+                    break  # a larger set can't share over half
+                both = len(a & b)
+                if both * 2 > len(a) + len(b) - both:
+                    pairs += counts[a] * counts[b]
+        return pairs / n
+
+    return pd.Series([one(t) for t in texts], dtype="float64")
+
+
 def repetition(text: Column) -> Column:
     """Pairs of sentences that share over half of their words, by sentence (D11); below two sentences 0.
 
-    Sentence word sets are made once; only pairs i < j are compared.  Equal sets, however often they repeat,
-    are counted by their number first, so a text that repeats one sentence costs one comparison.
+    Equal sets are counted by their number; different ones are compared by rising size, so that only sets
+    under twice as large are looked at.  Pairs are counted where the text is and never written out.
     """
-    sets = F.transform(sentences(text), lambda s: F.array_sort(F.array_distinct(tokens(F.lower(s)))))
-    n = F.size(sets)
-    distinct = F.array_distinct(sets)
-    counts = F.transform(distinct, lambda d: F.struct(d.alias("w"), F.size(F.filter(sets, lambda x: x == d)).alias("c")))
-    same = F.aggregate(counts, F.lit(0), lambda a, g: a + F.when(F.size(g["w"]) > 0, F.call_function("div", g["c"] * (g["c"] - 1), F.lit(2)).cast("int")).otherwise(0))
-    other = F.aggregate(
-        F.transform(
-            counts,
-            lambda g, i: F.aggregate(
-                F.slice(counts, i + F.lit(2), F.greatest(F.size(counts) - i - 1, F.lit(0))),
-                F.lit(0),
-                lambda a, h: a + F.when(F.size(F.array_intersect(g["w"], h["w"])) * 2 > F.size(F.array_union(g["w"], h["w"])), g["c"] * h["c"]).otherwise(0),
-            ),
-        ),
-        F.lit(0),
-        lambda a, x: a + x,
-    )
-    return F.when(n < 2, 0.0).otherwise((same + other) / n.cast("double"))
+    return F.pandas_udf(_like_pairs, T.DoubleType())(text)
+
+
+def text_arrays(df: DataFrame, text: Column) -> DataFrame:
+    """Adds the arrays that the features share, each made once: _tok, _low, _sents, _words."""
+    return df.withColumns({
+        "_tok": tokens(text), "_low": tokens(F.lower(text)), "_sents": sentences(text), "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "_rep": repetition(text),
+    })
 
 
 def linguistic_features(text: Column, stop_words: list[str]) -> dict[str, Column]:
-    """The seventeen features of D5-D13; null and blank texts give zeros."""
+    """The seventeen features of D5-D13 over a table with `text_arrays`; null and blank texts give zeros."""
     blank = F.coalesce(F.regexp_replace(text, WS, "") == "", F.lit(True))
-    t = tokens(text)
-    low = tokens(F.lower(text))
-    n, s, c = F.size(t), F.size(sentences(text)), F.length(text)
-    total = F.size(low)
-    share = lambda names: F.when(total > 0, F.size(F.filter(low, lambda w: w.isin(*names))) / total).otherwise(0.0)
+    n, s, c, total = F.size("_tok"), F.size("_sents"), F.length(text), F.size("_low")
+    share = lambda names: F.when(total > 0, F.size(F.filter("_low", lambda w: w.isin(*names))) / total).otherwise(0.0)
     out = {
         "word_count": n, "sentence_count": s, "char_count": c,
         "avg_sentence_length": F.when(s > 0, n / s).otherwise(0.0), "avg_word_length": F.when(n > 0, c / n).otherwise(0.0),
-        **readability(text),
-        "lexical_diversity": F.when(total > 0, F.size(F.array_distinct(low)) / total).otherwise(0.0),
+        **readability(F.col("_words"), s),
+        "lexical_diversity": F.when(total > 0, F.size(F.array_distinct("_low")) / total).otherwise(0.0),
         "stop_word_ratio": share(stop_words),
         "exclamation_ratio": count_of(text, "!"), "question_ratio": count_of(text, "?"), "comma_ratio": count_of(text, ","),
-        "repetition_score": repetition(text),
+        "repetition_score": F.col("_rep"),
         "formality_score": share(FORMAL),
         "ai_phrases_count": phrase_count(text),
     }

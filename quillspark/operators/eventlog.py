@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import running_count
+
 # The log's line patterns, first match wins.
 TS = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 PATTERNS = {
@@ -28,14 +30,13 @@ def typed_events(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.withColumns({"kind": kind, "detail": detail, "ts": ts}).filter("kind is not null")
 
 
-def sessions(events: DataFrame, log: str, order: list[str], amount: str = "amount", status: str = "status") -> DataFrame:
+def sessions(events: DataFrame, log: str, order: list[str], amount: str = "amount", status: str = "status", ts: str = "ts") -> DataFrame:
     """One row a session of each log: START opens (closing an open one), END closes; events after it own none (L2, L3).
 
     Columns of events: `log`, `order` (unique within a log), kind, amount, status.  Result: log, session, sleeps,
     errors, amount (of METRIC), was_reset, status, total and longest sleep, start and end order.
     """
-    w = Window.partitionBy(log).orderBy(*order)
-    x = events.withColumn("session", F.sum((F.col("kind") == "START").cast("int")).over(w)).filter("session > 0")
+    x = running_count(events, [log], order, F.col("kind") == "START", "session", ts).filter("session > 0")
     ws = Window.partitionBy(log, "session").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max((F.col("kind") == "END").cast("int")).over(ws), F.lit(0))
     x = x.withColumn("_after", ended).filter("_after = 0")

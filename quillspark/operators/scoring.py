@@ -114,18 +114,18 @@ def subjectivity_model(train: DataFrame, text: str, label: str, top: int = 1000,
 
 def noise(df: DataFrame, key: str, text: str, level: float = 0.1, seed: int = 42) -> DataFrame:
     """int(n x level) random words of 3 to 8 letters put between the words, told by a hash of key and seed."""
-    w = F.filter(F.split(F.col(text), WS), lambda x: x != "")
-    n = F.size(w)
-    k = F.floor(n * level).cast("int")
+    df = df.withColumn("_w", F.filter(F.split(F.col(text), WS), lambda x: x != "")).withColumn("_size", F.size("_w"))
+    w, n, k = F.col("_w"), F.col("_size"), F.floor(F.col("_size") * level).cast("int")
     h = lambda i, salt: F.xxhash64(F.col(key), F.lit(seed), i, F.lit(salt))
     extra = F.transform(
         F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
-            (F.pmod(h(i, 1), n + 1) + F.lit(0.5)).alias("pos"),
+            (F.pmod(h(i, 1), n + 1) + F.lit(0.5)).cast("double").alias("pos"),
             F.substring(F.translate(F.hex(h(i, 2)), "0123456789ABCDEF", "abcdefghijklmnop"), F.lit(1), (F.pmod(h(i, 3), F.lit(6)) + 3).cast("int")).alias("w"),
         ),
     )
     own = F.transform(w, lambda x, i: F.struct((i + 1).cast("double").alias("pos"), x.alias("w")))
-    both = F.array_sort(F.concat(own, F.transform(extra, lambda s: F.struct(s["pos"].cast("double").alias("pos"), s["w"].alias("w")))))
-    return df.withColumn(text, F.array_join(F.transform(both, lambda s: s["w"]), " "))
+    out = df.withColumn("_both", F.array_sort(F.concat(own, extra)))
+    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(F.transform("_both", lambda s: s["w"]), " "))).drop("_w", "_size", "_both")
+
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -13,6 +13,7 @@ from .operators import evaluation as V
 from .operators import eventlog as L
 from .operators import scoring as S
 from .operators import tables as T
+from .operators import windows as W
 from .queries_tables import wall_clock
 from .session import saved, ship_package, table
 from .streaming import incremental as I
@@ -106,12 +107,14 @@ _RATIOS = ["avg_sentence_length", "avg_word_length", "flesch_reading_ease", "fle
 
 
 def _featured(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, *[v.alias(k) for k, v in X.linguistic_features(F.col(text), _STOP).items()])
+    x = X.text_arrays(df.select(key, text), F.col(text))
+    return x.select(key, *[v.alias(k) for k, v in X.linguistic_features(F.col(text), _STOP).items()])
 
 
 @query()
 def linguistic_features(spark: SparkSession, d: str) -> DataFrame:
     """The seventeen features of each document."""
+    ship_package(spark)
     f = _featured(table(spark, d, "documents"), "doc_id", "text")
     return f.select("doc_id", *_COUNTS, *[F.round(c, 6).alias(c) for c in _RATIOS])
 
@@ -130,6 +133,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_features('documents', 'doc_id', 'text')}, {_repetition('doc_id')} SELECT doc_id, round({_SCORE}, 6) AS ai_score FROM f")
 def ai_score(spark: SparkSession, d: str) -> DataFrame:
     """D14."""
+    ship_package(spark)
     return _scored(spark, d).select("doc_id", F.round("ai_score", 6).alias("ai_score"))
 
 
@@ -137,6 +141,7 @@ def ai_score(spark: SparkSession, d: str) -> DataFrame:
 SELECT CASE WHEN a > 0.7 THEN 'high' WHEN a >= 0.4 THEN 'medium' ELSE 'low' END AS bucket, CAST(count(*) AS BIGINT) AS n, round(avg(a), 6) AS mean FROM s GROUP BY 1""")
 def ai_score_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Documents by bucket of their score."""
+    ship_package(spark)
     s = _scored(spark, d).select(F.round("ai_score", 6).alias("a"))
     return s.groupBy(X.score_bucket(F.col("a")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean"))
 
@@ -144,16 +149,21 @@ def ai_score_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_features('documents', 'doc_id', 'text')}, {_repetition('doc_id')} SELECT doc_id, round(repetition_score, 9) AS repetition FROM f")
 def repetition(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of like sentences."""
+    ship_package(spark)
     x = table(spark, d, "documents")
     blank = F.coalesce(F.regexp_replace("text", WS, "") == "", F.lit(True))
     return x.select("doc_id", F.round(F.when(blank, 0.0).otherwise(X.repetition(F.col("text"))), 9).alias("repetition"))
 
 
 _LEX = "SELECT lower(word) AS w, CAST(length(word) AS DOUBLE) / 2 AS s FROM common_words WHERE lang = 'en'"
-_ALPHA = "list_filter(regexp_extract_all(lower({t}), '" + X.ALPHA + "'), lambda x: regexp_matches(x, '^[a-z]+$'))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({_ALPHA.format(t='text')}) AS w FROM documents), l AS ({_LEX}), g AS (SELECT doc_id, avg(s) AS m, count(*) AS h FROM t JOIN l USING (w) GROUP BY 1)
+def _alpha(t: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({t}), '{X.ALPHA}'), lambda x: regexp_matches(x, '^[a-z]+$'))"
+
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_alpha('text')}) AS w FROM documents), l AS ({_LEX}), g AS (SELECT doc_id, avg(s) AS m, count(*) AS h FROM t JOIN l USING (w) GROUP BY 1)
 SELECT d.doc_id, round(m, 6) AS mean_score, CAST(h AS BIGINT) AS hits FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON d.doc_id = g.doc_id""")
 def concreteness(spark: SparkSession, d: str) -> DataFrame:
     """Mean score of a text's words in a lexicon."""
@@ -165,7 +175,7 @@ _MOOD = {"love": 3.0, "good": 2.0, "great": 3.0, "thank": 1.5, "thanks": 1.5, "n
 _MOODS = "(VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _MOOD.items()) + ") m(w, s)"
 
 
-@query(f"""WITH c AS (SELECT DISTINCT id, body FROM comments), t AS (SELECT id, unnest({_ALPHA.format(t='body')}) AS w FROM c), g AS (SELECT id, sum(coalesce(s, 0)) AS s, sum(CASE WHEN s > 0 THEN s + 1 ELSE 0 END) AS p, sum(CASE WHEN s < 0 THEN 1 - s ELSE 0 END) AS n,
+@query(f"""WITH c AS (SELECT DISTINCT id, body FROM comments), t AS (SELECT id, unnest({_alpha('body')}) AS w FROM c), g AS (SELECT id, sum(coalesce(s, 0)) AS s, sum(CASE WHEN s > 0 THEN s + 1 ELSE 0 END) AS p, sum(CASE WHEN s < 0 THEN 1 - s ELSE 0 END) AS n,
  count_if(coalesce(s, 0) = 0)::DOUBLE AS u FROM t LEFT JOIN {_MOODS} USING (w) GROUP BY 1)
 SELECT c.id, round(coalesce(n / nullif(p + n + u, 0), 0), 6) AS neg, round(coalesce(u / nullif(p + n + u, 0), 0), 6) AS neu, round(coalesce(p / nullif(p + n + u, 0), 0), 6) AS pos, round(coalesce(s / sqrt(s * s + 15), 0), 6) AS compound FROM c LEFT JOIN g ON c.id = g.id""")
 def sentiment_lexicon(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +212,13 @@ def html_body_clean(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", X.clean_body(F.concat(F.lit("<p>"), "body", F.lit('</p><img src="x.png">'))).alias("body")).distinct()
 
 
+@query(f"""SELECT last_day(o_orderdate) AS month, CAST(count(*) AS BIGINT) AS n, round(avg({_quality('text')}), 6) AS mean FROM documents JOIN orders ON doc_id = o_orderkey GROUP BY 1""")
+def simple_quality_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """The monthly mean quality of texts (the flagship)."""
+    j = table(spark, d, "documents").join(table(spark, d, "orders"), F.col("doc_id") == F.col("o_orderkey"))
+    return T.monthly_mean(j, F.col("o_orderdate"), X.simple_quality(F.col("text")), False)
+
+
 # ---- an event log (L): START, END, SLEEP, METRIC, ERROR and RESET told by the type of an event
 _KIND = "CASE event_type WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'END' WHEN 'click' THEN 'SLEEP' WHEN 'error' THEN 'ERROR' ELSE CASE WHEN k % 10 = 0 THEN 'RESET' ELSE 'METRIC' END END"
 _LOG = f"""e AS (SELECT user_id, ts, event_id, {_KIND} AS kind, value AS amount, CASE WHEN k % 4 = 0 THEN 'Failed' ELSE 'Success' END AS status FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
@@ -371,6 +388,7 @@ def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
     x = T.unify_category(c).withColumns({"t": wall_clock(), "g": goal, "pct": T.funding_percent(F.col("platform"), F.col("percent_funded"), F.col("funds_raised_percent"))})
     x = x.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & F.col("t").isNotNull() & F.col("story_content").isNotNull())
     f = X.linguistic_features(F.col("story_content"), _STOP)
+    x = X.text_arrays(x, F.col("story_content"))
     x = x.select(
         F.round(T.log_floor(F.col("pct") / 100 * F.col("g"), True), 9).alias("log_pledged_amount"), T.log_floor(F.when(F.col("g") > 0, F.col("g"))).alias("log_goal"),
         X.simple_quality(F.col("story_content")).alias("text_quality"), X.word_count(F.col("story_content")).alias("word_count"), F.month("t").alias("month"), F.year("t").alias("year"), "category_unified",
@@ -396,8 +414,8 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts AS click_ts, event_id AS click_id FROM events WHERE event_type = 'click')
 SELECT event_id, click_id FROM (SELECT event_id, click_id, row_number() OVER (PARTITION BY event_id ORDER BY click_ts DESC, click_id DESC) AS rn FROM e LEFT JOIN c ON e.user_id = c.user_id AND c.click_ts <= e.ts) WHERE rn = 1""")
 def asof_last_click(spark: SparkSession, d: str) -> DataFrame:
-    """P: the last click before each purchase, by one window and no join."""
+    """P: the last click before each purchase, within one table."""
     e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "click"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "purchase", "event_id")
-    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("click_id", last).filter("event_type = 'purchase'").select("event_id", "click_id")
+    order = [F.col("ts"), F.col("event_type") == "purchase", F.col("event_id")]
+    e = W.carry_last(e, ["user_id"], order, F.when(F.col("event_type") == "click", F.col("event_id")), "click_id", "ts")
+    return e.filter("event_type = 'purchase'").select("event_id", "click_id")
