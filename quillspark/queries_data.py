@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .operators.impute import fill_from_similar
 from .operators.timestamps import instants_to_mend, normalise_timestamps
 from .operators.units import amounts_in_common_unit
-from .session import ship_package, table
+from .session import ship_package, spread, table
 
 
 def _amounts(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
-    return amounts_in_common_unit(table(spark, d, "combined_all_columns"), table(spark, d, "money_units"), table(spark, d, "fx_rates"))
+    return amounts_in_common_unit(spread(table(spark, d, "combined_all_columns")), table(spark, d, "money_units"), table(spark, d, "fx_rates"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

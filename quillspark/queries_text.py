@@ -15,7 +15,8 @@ from .operators import scoring as S
 from .operators import tables as T
 from .operators import windows as W
 from .queries_tables import wall_clock
-from .session import saved, ship_package, table
+from .session import saved, ship_package, spread
+from .session import table as read_table
 from .streaming import incremental as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,12 @@ q = lambda s: s.replace("'", "''")
 WS, TOKEN, BREAK = X.WS, q(X.TOKEN), q(X.SENTENCE_BREAK)
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table; one of texts is spread over all cores, as its queries work more than they read."""
+    df = read_table(spark, d, name)
+    return spread(df) if name in ("documents", "updates", "comments", "combined_all_columns") else df
+
+
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
