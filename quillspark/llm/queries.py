@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import saved, ship_package, table
+from ..session import saved, ship_package, spread
+from ..session import table as read_table
 from .bpe import encode_corpus
 from .packing import pack
 from .reading import reading_levels
@@ -16,6 +17,12 @@ from .survivor import filled_survivors, survivors
 from .textstats import text_quality
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table; one of texts is spread over all cores, as its queries work more than they read."""
+    df = read_table(spark, d, name)
+    return spread(df) if name in ("documents", "stories", "combined_all_columns") else df
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return template_residue(table(spark, d, "stories")).filter("is_residue").select("story_row_id")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import saved
-from .units import CJK, ENDS, WORD, is_sentence, sentences, units, weight
+from .units import CJK, ENDS, WORD, cjk_count, is_sentence, sentences, units, weight
 
 STATS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_end_share", "common_word_share", "distinct_word_share", "words_per_sentence", "sentence_share"]
 LANGS = ["en", "de", "fr", "es", "ja", "und"]
@@ -35,17 +35,18 @@ def document_stats(text: str, common: dict[str, frozenset[str]], every: frozense
         if ENDS.search(u):
             punct += size
         for s in sentences(u):
-            w = CJK.findall(s) if len(CJK.findall(s)) * 2 > len(s) else WORD.findall(s)
+            w = CJK.findall(s) if cjk_count(s) * 2 > len(s) else WORD.findall(s)
             words += w
             letters += sum(map(len, w))
-            if is_sentence(s, every):
+            if is_sentence(s, every, w):
                 in_sentences += weight(s)
                 n_sent += 1
                 sent_words += len(w)
     lower = [w.lower() for w in words]
     n = len(lower)
-    hits = {k: sum(1 for w in lower if w in v) for k, v in common.items()}
-    if n and sum(1 for w in lower if len(w) == 1 and CJK.match(w)) * 2 > n:
+    shared = [w for w in lower if w in every]
+    hits = {k: sum(1 for w in shared if w in v) for k, v in common.items()}
+    if n and not text.isascii() and sum(1 for w in lower if len(w) == 1 and CJK.match(w)) * 2 > n:
         lang, known = "ja", sum(1 for w in lower if "ぁ" <= w <= "ん")
     else:
         lang = max(sorted(hits), key=lambda k: hits[k]) if hits else "und"

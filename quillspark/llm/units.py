@@ -44,14 +44,18 @@ def sentences(unit: str) -> list[str]:
     return [s for s in SPLIT.split(unit) if s and s.strip()]
 
 
-def is_sentence(s: str, common: frozenset[str]) -> bool:
+def cjk_count(s: str) -> int:
+    return 0 if s.isascii() else len(CJK.findall(s))
+
+
+def is_sentence(s: str, common: frozenset[str], words: list[str] | None = None) -> bool:
     """Whether a piece of text reads as a sentence: it ends as one (or is a long clause), is made of words, and
     has some, but not only, common words."""
     n = len(s)
-    cjk = len(CJK.findall(s))
+    cjk = cjk_count(s)
     if cjk * 2 > n:
         return cjk >= 5 and len(HIRAGANA.findall(s)) * 8 >= cjk and (s[-1] in "。！？" or cjk >= 12)
-    words = WORD.findall(s)
+    words = WORD.findall(s) if words is None else words
     if len(words) < 3 or sum(map(len, words)) * 2 < n - s.count(" "):
         return False
     known = sum(1 for w in words if w.lower() in common)
@@ -69,4 +73,4 @@ def is_sentence(s: str, common: frozenset[str]) -> bool:
 
 def weight(s: str) -> int:
     """Characters without blanks; a Japanese one counts twice, as it is worth about two letters."""
-    return len(s) - s.count(" ") + len(CJK.findall(s))
+    return len(s) - s.count(" ") + cjk_count(s)
