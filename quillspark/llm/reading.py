@@ -19,6 +19,7 @@ from .units import ENDS, WORD, is_sentence, sentences, units, weight
 
 LEVELS = 5
 BITS = 14
+WORDS_KEPT = 200_000  # scored words kept in a worker
 
 
 def word_features(word: str) -> list[int]:
@@ -39,21 +40,35 @@ class SentenceModel:
     def __init__(self, weights: np.ndarray | None = None, bias: np.ndarray | None = None) -> None:
         self.weights = np.zeros((1 << BITS, LEVELS), dtype=np.float32) if weights is None else weights
         self.bias = np.zeros(LEVELS, dtype=np.float32) if bias is None else bias
-        self.words: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        hit = self.words.get(w)
-        if hit is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            f = word_features(w)
-            hit = self.words[w] = self.weights[f].sum(axis=0) / np.float32(np.sqrt(len(f)))
-        return hit
-
-    def levels(self, words: list[str]) -> np.ndarray:
-        z = self.bias + np.sum([self.word(w) for w in words], axis=0) / len(words)
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((4096, LEVELS), dtype=np.float32)
+
+    def rows(self, words: list[str]) -> list[int]:
+        """The words' rows in the table of scores; new words are scored and added."""
+        get, out = self.index.get, []
+        for w in words:
+            i = get(w)
+            if i is None:
+                i = self.index[w] = len(self.index)
+                if i == len(self.table):
+                    self.table = np.vstack([self.table, np.zeros_like(self.table)])
+                f = word_features(w)
+                self.table[i] = self.weights[f].sum(axis=0) / np.float32(np.sqrt(len(f)))
+            out.append(i)
+        return out
+
+    def levels(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """A distribution and the number of words of each sentence."""
+        if len(self.index) > WORDS_KEPT:
+            self.forget()
+        n = np.array([len(x) for x in sents])
+        flat = np.array(self.rows([w for x in sents for w in x]))
+        z = np.add.reduceat(self.table[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None] + self.bias
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True), n
 
     def fit(self, sents: list[list[str]], target: np.ndarray, ridge: float = 1e-4, epochs: int = 30, rate: float = 2.0) -> "SentenceModel":
         """Full-batch gradient steps with momentum by AdaGrad scaling; `target` has a row of level shares a sentence."""
@@ -88,7 +103,7 @@ class SentenceModel:
             gb = err.sum(axis=0)
             bias2 += gb**2
             self.bias -= (0.2 * rate * gb / np.sqrt(bias2)).astype(np.float32)
-        self.words.clear()
+        self.forget()
         return self
 
 
@@ -131,24 +146,30 @@ def english_sentences(text: str, common: dict[str, frozenset[str]], every: froze
         for s in sentences(u):
             words = [w.lower() for w in WORD.findall(s)]
             letters += len(words)
+            shared = [w for w in words if w in every]
             for k, v in common.items():
-                hits[k] += sum(1 for w in words if w in v)
-            if words and (is_sentence(s, every) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every)):
+                hits[k] += sum(1 for w in shared if w in v)
+            if words and (is_sentence(s, every, words) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every)):
                 out.append(words)
                 inside += weight(s)
     best = max(hits, key=lambda k: (hits[k], k == "en")) if hits else "en"
     return out, inside / max(1, total), best == "en" and hits.get("en", 0) > 0.05 * letters
 
 
-def gather(sents: list[list[str]], model: SentenceModel) -> tuple[np.ndarray, np.ndarray]:
-    """Mean distribution and shares of the likeliest level over the words of all sentences."""
-    mean, top, n = np.zeros(LEVELS), np.zeros(LEVELS), 0
-    for s in sents:
-        p = model.levels(s)
-        mean += len(s) * p
-        top[int(p.argmax())] += len(s)
-        n += len(s)
-    return mean / max(1, n), top / max(1, n)
+def gather(docs: list[list[list[str]]], model: SentenceModel) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document: the mean distribution and the shares of the likeliest level, over the words of all its
+    sentences; zeros where it has none."""
+    mean, top = np.zeros((len(docs), LEVELS)), np.zeros((len(docs), LEVELS))
+    at = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    if len(at):
+        p, n = model.levels([s for d in docs for s in d])
+        total = np.bincount(at, weights=n, minlength=len(docs))
+        best = p.argmax(axis=1)
+        for k in range(LEVELS):
+            mean[:, k] = np.bincount(at, weights=n * p[:, k], minlength=len(docs))
+            top[:, k] = np.bincount(at, weights=n * (best == k), minlength=len(docs))
+        mean, top = mean / np.maximum(total, 1)[:, None], top / np.maximum(total, 1)[:, None]
+    return mean, top
 
 
 def train(labelled: list[tuple[str, np.ndarray]], common: dict[str, frozenset[str]], folds: int = 4) -> tuple[SentenceModel, Calibration]:
@@ -164,13 +185,13 @@ def train(labelled: list[tuple[str, np.ndarray]], common: dict[str, frozenset[st
 
     means, tops, ys = [], [], []
     for f in range(folds):
-        m = model([d for i, d in enumerate(docs) if i % folds != f])
-        for s, y in docs[f::folds]:
-            a, b = gather(s, m)
-            means.append(a), tops.append(b), ys.append(y)
+        held = docs[f::folds]
+        if held:
+            a, b = gather([s for s, _ in held], model([d for i, d in enumerate(docs) if i % folds != f]))
+            means.append(a), tops.append(b), ys.extend(y for _, y in held)
     cal = Calibration()
     if ys:
-        cal.fit(np.array(means), np.array(tops), np.array(ys))
+        cal.fit(np.vstack(means), np.vstack(tops), np.array(ys))
     return model(docs), cal
 
 
@@ -180,7 +201,7 @@ def reading_levels(
     common_words: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    max_labelled: int = 6000,
+    max_labelled: int = 3000,
     prose: float = 0.5,
 ) -> DataFrame:
     """key, is_english, prose_share, level (1..5, the likeliest), difficulty (mean level), probabilities.
@@ -213,16 +234,15 @@ def reading_levels(
         m, c = SentenceModel(shared.value[0], shared.value[1]), Calibration()
         c.w = shared.value[2]
         for batch in batches:
-            english, share, means, tops, scored = [], [], [], [], []
+            english, share, docs, scored = [], [], [], []
             for s in batch.column(1):
                 t = s.as_py()
                 sents, part, en = english_sentences(t, common, every) if t and not t.isspace() else ([], None, None)
                 ok = bool(fitted and en and sents and part >= prose)
-                mean, top = gather(sents, m) if ok else (np.zeros(LEVELS), np.zeros(LEVELS))
-                english.append(en), share.append(part), means.append(mean), tops.append(top), scored.append(ok)
+                english.append(en), share.append(part), scored.append(ok), docs.append(sents if ok else [])
             if not english:
                 continue
-            p = c.probabilities(np.array(means), np.array(tops))
+            p = c.probabilities(*gather(docs, m))
             level = [int(x.argmax()) + 1 if ok else None for x, ok in zip(p, scored)]
             diff = [float(x @ np.arange(1, LEVELS + 1)) if ok else None for x, ok in zip(p, scored)]
             yield pa.RecordBatch.from_arrays(
