@@ -177,6 +177,7 @@ def _cross(c: DataFrame, k: int) -> np.ndarray:
     return g
 
 
+# The nested models of the study.
 LADDER = [
     "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT",
     "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators.impute import fill_from_similar
 from .operators.timestamps import instants_to_mend, normalise_timestamps
 from .operators.units import amounts_in_common_unit
+from .queries_tables import pid
 from .session import ship_package, spread, table
 
 
@@ -51,4 +52,38 @@ def p5_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p4_filled, p5_found, p5_normalised)}
-SQL: dict[str, str] = {}
+
+_FIELDS = ("goal", "pledged", "funds_raised_percent")
+
+
+def _gone(f: str) -> str:
+    zero = f" OR {f} = 0" if f == "goal" else ""
+    return f"({f} IS NULL OR isnan({f}) OR {f} < 0{zero} OR ({f} >= 999999999 AND regexp_matches(printf('%.0f', CAST({f} AS DOUBLE)), '^9{{9,}}$')))"
+
+
+_LONG = " UNION ALL ".join(
+    f"SELECT row_id, platform, pid, crawled_at, '{f}' AS field_name, {_gone(f)} AS gone FROM c" + (" WHERE NOT (platform = 'Kickstarter' AND " + _gone(f) + ")" if f == "funds_raised_percent" else "") for f in _FIELDS
+)
+_ABBR = [("America/New_York", "EST", -5), ("America/New_York", "EDT", -4), ("America/Los_Angeles", "PST", -8), ("America/Los_Angeles", "PDT", -7), ("Europe/Berlin", "CET", 1), ("Europe/Berlin", "CEST", 2), ("Europe/London", "GMT", 0), ("Europe/London", "BST", 1), ("Australia/Sydney", "AEST", 10), ("Australia/Sydney", "AEDT", 11), ("Asia/Tokyo", "JST", 9), ("Asia/Kolkata", "IST", 5.5)]
+_ANY = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%d", "%Y%m%dT%H%M%S", "%a, %d %b %Y %H:%M:%S", "%a, %d %B %Y %H:%M:%S", "%b %d, %Y %I:%M %p", "%B %d, %Y %I:%M %p"]
+_DAY_FIRST = ["%d/%m/%Y %H:%M", "%d.%m.%Y %H:%M", "%d/%m/%Y %I:%M %p"]
+_MONTH_FIRST = ["%m/%d/%Y %H:%M", "%m.%d.%Y %H:%M", "%m/%d/%Y %I:%M %p"]
+_FORMATS = "CASE WHEN day_first THEN try_strptime(body, {}) ELSE try_strptime(body, {}) END".format(*(str(_ANY + x) for x in (_DAY_FIRST, _MONTH_FIRST)))
+# A whole-table self-join: fine on the small tables that it checks, and exact.
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH c AS (SELECT row_id, platform, {pid('id')} AS pid, crawled_at, {', '.join(_FIELDS)} FROM combined_all_columns), l AS ({_LONG})
+SELECT m.row_id, m.field_name, coalesce(arg_min(h.row_id, struct_pack(d := abs(epoch_us(h.crawled_at) - epoch_us(m.crawled_at)), r := h.row_id)), -1) AS from_row_id
+FROM (SELECT * FROM l WHERE gone) m LEFT JOIN (SELECT * FROM l WHERE NOT gone AND pid IS NOT NULL) h ON m.platform = h.platform AND m.pid = h.pid AND m.field_name = h.field_name GROUP BY m.row_id, m.field_name""",
+    "p5_found": f"""WITH v AS (SELECT row_id, source_url, 'created_at' AS field_name, created_at AS raw FROM combined_all_columns UNION ALL SELECT row_id, source_url, 'deadline', deadline FROM combined_all_columns
+ UNION ALL SELECT row_id, source_url, 'launched_at', CAST(launched_at AS VARCHAR) FROM combined_all_columns),
+ t AS (SELECT row_id, field_name, raw, trim(raw) AS t, time_zone, day_first FROM v LEFT JOIN crawl_sources USING (source_url)
+  WHERE NOT (field_name = 'launched_at' AND regexp_matches(raw, '^[1-9][0-9]{{8,9}}$')) AND NOT (field_name <> 'launched_at' AND regexp_matches(raw, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$'))),
+ z AS (SELECT *, regexp_extract(t, '(?:[0-9]T[0-9]{{6}}|:[0-9]{{2}}(?:[.][0-9]+)?(?: ?[AP]M)?) ?(Z|(?:UTC|GMT)?[+-][0-9]{{2}}:?[0-9]{{2}}|[A-Z]{{3,4}})$', 1) AS z FROM t),
+ b AS (SELECT *, regexp_replace(trim(substr(t, 1, length(t) - length(z))), '[.][0-9]+$', '') AS body FROM z),
+ p AS (SELECT *, CASE WHEN NOT regexp_matches(body, '^[0-9.]+$') OR regexp_matches(body, '^[0-9]{{1,2}}[.]') THEN {_FORMATS} END AS l FROM b),
+ o AS (SELECT p.*, CASE WHEN z IN ('Z', 'UTC', 'GMT') THEN 0 WHEN regexp_matches(z, '[0-9]$') THEN (CASE WHEN contains(z, '-') THEN -1 ELSE 1 END) * (CAST(regexp_extract(z, '[+-]([0-9]{{2}})', 1) AS INTEGER) * 3600 + CAST(substr(z, length(z) - 1) AS INTEGER) * 60) ELSE CAST(h * 3600 AS INTEGER) END AS off,
+  epoch(timezone(time_zone, l)) AS u FROM p LEFT JOIN (VALUES {', '.join(f"('{a}', '{b}', {c})" for a, b, c in _ABBR)}) a(tz, ab, h) ON time_zone = tz AND z = ab),
+ e AS (SELECT row_id, field_name, CASE WHEN regexp_matches(t, '^[0-9]{{9,10}}([.][0-9]*)?$') THEN CAST(split_part(t, '.', 1) AS BIGINT) WHEN regexp_matches(t, '^[0-9]{{13}}$') THEN CAST(t AS BIGINT) // 1000 WHEN regexp_matches(t, '^[0-9]{{16}}$') THEN CAST(t AS BIGINT) // 1000000
+  WHEN regexp_matches(t, '^[0-9]{{19}}$') THEN CAST(t AS BIGINT) // 1000000000 WHEN z <> '' THEN CAST(epoch(l) AS BIGINT) - off WHEN timezone(time_zone, to_timestamp(u - 3600)) = l THEN CAST(u AS BIGINT) - 3600 ELSE CAST(u AS BIGINT) END AS epoch_s FROM o)
+SELECT row_id, field_name, CAST(epoch_s AS BIGINT) AS epoch_s FROM e WHERE epoch_s IS NOT NULL""",
+}

@@ -14,7 +14,8 @@ from .operators import eventlog as L
 from .operators import scoring as S
 from .operators import tables as T
 from .operators import windows as W
-from .queries_tables import wall_clock
+from .plans import pipelines as P
+from .queries_tables import pid, wall_clock
 from .session import saved, ship_package, spread
 from .session import table as read_table
 from .streaming import incremental as I
@@ -226,6 +227,16 @@ def simple_quality_by_month(spark: SparkSession, d: str) -> DataFrame:
     return T.monthly_mean(j, F.col("o_orderdate"), X.simple_quality(F.col("text")), False)
 
 
+@query(f"""WITH p AS (SELECT DISTINCT {pid('id')} AS project FROM combined_all_columns WHERE regexp_matches(project_url, '(?i)ks.example')), f AS (SELECT DISTINCT {pid('project_id')} AS k FROM scrape_failures WHERE error_stage = 'updates'),
+ u AS (SELECT DISTINCT id, body, {pid('project_id')} AS project FROM updates), s AS (SELECT id, avg(least(length(x) / 200.0::DOUBLE, 1.0::DOUBLE)) AS m FROM (SELECT id, unnest({_KEPT}) AS x FROM u) GROUP BY 1)
+SELECT u.id, project, CAST(coalesce(len({_words('body')}), 0) AS INTEGER) AS n_words, round({_quality('body')}, 9) AS quality, coalesce(round(m, 6), 0) AS sentence_mean FROM u LEFT JOIN s ON u.id = s.id
+WHERE project IN (SELECT project FROM p WHERE project IS NOT NULL) AND project NOT IN (SELECT k FROM f WHERE k IS NOT NULL)""")
+def updates_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """E-1, F6-F9, G5, E8: the updates of projects that aren't done, each once, with its features."""
+    done = table(spark, d, "scrape_failures").filter("error_stage = 'updates'")
+    return P.updates_pipeline(table(spark, d, "combined_all_columns"), table(spark, d, "updates"), done, lambda c: F.least(F.length(c) / 200.0, F.lit(1.0)))
+
+
 # ---- an event log (L): START, END, SLEEP, METRIC, ERROR and RESET told by the type of an event
 _KIND = "CASE event_type WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'END' WHEN 'click' THEN 'SLEEP' WHEN 'error' THEN 'ERROR' ELSE CASE WHEN k % 10 = 0 THEN 'RESET' ELSE 'METRIC' END END"
 _LOG = f"""e AS (SELECT user_id, ts, event_id, {_KIND} AS kind, value AS amount, CASE WHEN k % 4 = 0 THEN 'Failed' ELSE 'Success' END AS status FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
