@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import project_number
+from ..session import saved
 from .residue import template_residue
 
 
@@ -65,7 +66,7 @@ def _best() -> Column:
     )
 
 
-def candidates(features: DataFrame, salts: int = 16) -> DataFrame:
+def candidates(features: DataFrame, salts: int = 64) -> DataFrame:
     """The skyline of each project, with the number of the rows it stands for in `_n` (sum it by project).
 
     A project may hold a third of all rows: parts of it, split by a hash of the row, are thinned first;
@@ -95,28 +96,33 @@ def survivors(stories: DataFrame) -> DataFrame:
     return g.filter("n_rows >= 2").select(*_GROUP, (-F.col("_best.k")).alias("story_row_id"), "n_rows", "n_candidates")
 
 
-def filled_survivors(stories: DataFrame, layers: int = 3) -> DataFrame:
+def peeled(df: DataFrame, part: list[str], layers: int) -> DataFrame:
+    """Adds `_deep`, the layer of dominance from 1 on; what lies deeper than `layers` has layers + 1."""
+    x = df.withColumn("_deep", F.lit(1))
+    for i in range(1, layers + 1):  # a layer's rows stay, the rest is peeled again
+        x = x.withColumn("_out", dominated([*part, "_deep"], _FLAGS, "n_chars", "scraped_at", "story_row_id"))
+        x = x.withColumn("_deep", F.when((F.col("_deep") == i) & F.col("_out"), i + 1).otherwise(F.col("_deep")))
+    return x.drop("_out")
+
+
+def filled_survivors(stories: DataFrame, layers: int = 3, salts: int = 64) -> DataFrame:
     """The survivors' rows with story_content, is_throttled and cloudflare_detected; nulls are filled.
 
     filled_<field> is the story_row_id that gave the value (null: nothing was filled).  A null comes from
     the best row (by the policy) of the next layer of dominance that has the value; rows deeper than
     `layers` come last, in the order of the policy.
     """
-    f = story_features(stories).drop("is_residue", "kind")
-    x = f.withColumn("_deep", F.lit(1))
-    for _ in range(layers):  # a layer's rows leave, the rest is peeled again
-        peel = dominated([*_GROUP, "_deep", "_salt"], _FLAGS, "n_chars", "scraped_at", "story_row_id")
-        x = x.withColumn("_salt", F.lit(0)).withColumn("_out", peel)
-        x = x.withColumn("_layer_done", ~F.col("_out")).withColumn("_deep", F.when(F.col("_out"), F.col("_deep") + 1).otherwise(F.col("_deep")))
-    order = F.struct((-F.col("_deep")).alias("deep"), *[F.col(c) for c in ("usable", "trusted", "n_chars", "scraped_at")], (-F.col("story_row_id")).alias("k"))
-    g = x.groupBy(*_GROUP).agg(
-        F.count("*").alias("n_rows"),
-        F.max(_best()).alias("_best"),
-        F.max(F.when(~F.col("no_throttled"), order)).alias("_throttled"),
-        F.max(F.when(~F.col("no_cloudflare"), order)).alias("_cloudflare"),
-        F.max(F.when(~F.col("blank"), order)).alias("_text"),
-    ).filter("n_rows >= 2")
-    g = g.select(*_GROUP, (-F.col("_best.k")).alias("story_row_id"), (-F.col("_throttled.k")).alias("_t"), (-F.col("_cloudflare.k")).alias("_c"), (-F.col("_text.k")).alias("_x"))
+    f = saved(story_features(stories).drop("is_residue", "kind").withColumn("_salt", F.pmod(F.xxhash64("story_row_id"), F.lit(salts)).cast("int")))
+    # a row of the first layers of its project is in the first layers of its hashed part, and so is whatever
+    # dominates it: the rest of a part can go before the parts meet
+    x = peeled(peeled(f, [*_GROUP, "_salt"], layers).filter(F.col("_deep") <= layers), _GROUP, layers)
+    order = lambda deep: F.struct((-deep).alias("deep"), *[F.col(c) for c in ("usable", "trusted", "n_chars", "scraped_at")], (-F.col("story_row_id")).alias("k"))
+    has = {"_throttled": ~F.col("no_throttled"), "_cloudflare": ~F.col("no_cloudflare"), "_text": ~F.col("blank")}
+    near = x.groupBy(*_GROUP).agg(*[F.max(F.when(c, order(F.col("_deep")))).alias(f"{n}_near") for n, c in has.items()])
+    far = f.groupBy(*_GROUP).agg(F.count("*").alias("n_rows"), F.max(_best()).alias("_best"), *[F.max(F.when(c, order(F.lit(layers + 1)))).alias(f"{n}_far") for n, c in has.items()])
+    g = far.filter("n_rows >= 2").join(near, _GROUP)
+    pick = lambda n: (-F.greatest(f"{n}_near", f"{n}_far")["k"])
+    g = g.select(*_GROUP, (-F.col("_best.k")).alias("story_row_id"), pick("_throttled").alias("_t"), pick("_cloudflare").alias("_c"), pick("_text").alias("_x"))
     own = stories.select("story_row_id", "story_content", "is_throttled", "cloudflare_detected", "scraped_at")
     out = g.join(own, "story_row_id")
     for field, src in (("story_content", "_x"), ("is_throttled", "_t"), ("cloudflare_detected", "_c")):

@@ -257,3 +257,18 @@ def test_queries(spark, data):
     s = spark.read.parquet(f"{data}/sf0.001/stories.parquet")
     many = s.select("platform", project_number(F.col("id")).alias("p")).filter("p is not null").groupBy("platform", "p").count().filter("count > 1").count()
     assert keys == 0 and queries.QUERIES["p2_found"](spark, f"{data}/sf0.001").count() == many
+
+
+def test_fill_comes_from_the_nearest_layer(spark):
+    day = lambda d: dt.datetime(2020, 1, d)
+    rows = [
+        (1, "K", "1", "We build it all day and night.", None, None, day(9), 1),  # the survivor: its flags are null
+        (2, "K", "1", "We build it all day.", False, None, day(8), 1),  # second layer
+        (3, "K", "1", "We build it.", True, True, day(7), 1),  # deeper
+        (4, "K", "1", "We build.", None, False, day(6), 1),
+        (5, "K", "1", "We.", None, True, day(5), 1),
+    ]
+    df = spark.createDataFrame(rows, "story_row_id long, platform string, id string, story_content string, is_throttled boolean, cloudflare_detected boolean, scraped_at timestamp_ntz, n_rows int")
+    r = filled_survivors(df).first()
+    assert (r["story_row_id"], r["filled_is_throttled"], r["filled_cloudflare_detected"]) == (1, 2, 4)
+    assert r["is_throttled"] is False and r["cloudflare_detected"] is False and r["filled_story_content"] is None
