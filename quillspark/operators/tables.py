@@ -133,9 +133,9 @@ def fill_rounds(stories: DataFrame, keys: list[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str, keep_null: bool = False) -> DataFrame:
     """Counts and their share of all rows, nulls counted among all (H1); nulls as a group of their own (H2)."""
-    g = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over the groups only
-    out = g.withColumn("pct", F.round(F.col("n") * 100.0 / total, 6))
+    g = df.groupBy(col).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    total = g.groupBy("_one").agg(F.sum("n").alias("_total"))  # one row
+    out = g.join(F.broadcast(total), "_one").select(col, "n", F.round(F.col("n") * 100.0 / F.col("_total"), 6).alias("pct"))
     return out if keep_null else out.filter(F.col(col).isNotNull())
 
 
