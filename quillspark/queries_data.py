@@ -69,8 +69,21 @@ _ANY = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%d
 _DAY_FIRST = ["%d/%m/%Y %H:%M", "%d.%m.%Y %H:%M", "%d/%m/%Y %I:%M %p"]
 _MONTH_FIRST = ["%m/%d/%Y %H:%M", "%m.%d.%Y %H:%M", "%m/%d/%Y %I:%M %p"]
 _FORMATS = "CASE WHEN day_first THEN try_strptime(body, {}) ELSE try_strptime(body, {}) END".format(*(str(_ANY + x) for x in (_DAY_FIRST, _MONTH_FIRST)))
+_CODES = [("CAD", r"CAD|C\$|CA\$|CDN\$|CANADIAN"), ("AUD", r"AUD|^A\$|AU\$|AUSTRALIAN"), ("USD", r"USD|US DOLLAR|U\.S\. DOLLAR|DOLLARS \(US\)|US\$|US CENT"), ("EUR", "EUR|€"), ("GBP", "GBP|£|POUND|PENCE"), ("JPY", "JPY|YEN|円|JP¥"), ("SEK", "SEK|ÖRE|SWEDISH|SVENSKA"), ("CHF", r"CHF|SFR|^FR\.|SWISS|RAPPEN"), ("MXN", r"MXN|MX\$|PESO")]
+_CODE = "CASE " + " ".join(f"WHEN regexp_matches(u, '{r}') THEN '{c}'" for c, r in _CODES) + " END"
+_SCALE = """CASE WHEN said = 'GBp' OR regexp_matches(u, 'CENT|PENCE|¢|MINOR|X 0[.]01|HUNDREDTH|ÖRE|RAPPEN|^P |^CT ') THEN 'minor' WHEN regexp_matches(u, 'THOUSAND| K$|^[KT][A-Z]{3}$|''000|X1000|1,000') THEN 'thousand'
+ WHEN regexp_matches(u, 'MILLION|MIO|^M[A-Z]{3}$') THEN 'million' ELSE 'major' END"""
+_NOTE = r"(?:Figures on this page are in|read the numbers as|Goal and pledges given in|report funding in|Totals shown in|money counted in|Sums are|keeps the account in|all amounts in|Amounts:) ((?:[^ .,)]+ ?){1,6})"
+_EXACT = "coalesce(currency IN (SELECT currency_code FROM money_units), false)"
 # A whole-table self-join: fine on the small tables that it checks, and exact.
 SQL: dict[str, str] = {
+    "p3_found": f"""WITH c AS (SELECT row_id, currency, {', '.join(f"CASE WHEN NOT {_gone(f)} THEN {f} END AS {f}" for f in ('goal', 'pledged'))}, coalesce(CASE WHEN NOT isnan(percent_funded) THEN percent_funded END, CASE WHEN NOT isnan(funds_raised_percent) THEN funds_raised_percent END) AS share,
+  {_EXACT} AS exact, coalesce(lower(trim(currency)) IN ('', 'n/a'), true) AS blank, regexp_replace(concat_ws(' | ', name, blurb, story_content), '[\\s\\x{{A0}}]+', ' ', 'g') AS txt FROM combined_all_columns),
+ n AS (SELECT *, CASE WHEN exact THEN currency WHEN NOT blank THEN trim(currency) ELSE coalesce(nullif(regexp_extract(txt, '{_NOTE}', 1), ''), nullif(regexp_extract(txt, '[[]([A-Za-zö ]+)[]]', 1), ''), regexp_extract(txt, '[*]([^,*]+), not anything else', 1)) END AS said FROM c),
+ u AS (SELECT *, {_CODE} AS code, {_SCALE} AS scale FROM (SELECT *, upper(said) AS u FROM n)), o AS (SELECT *, CASE WHEN exact AND goal > 0 AND pledged > 0 AND share > 0 THEN log10(pledged / goal * 100 / share) END AS off FROM u),
+ l AS (SELECT row_id, 'goal' AS field_name, goal AS v, exact, code, CASE WHEN NOT exact THEN scale WHEN abs(off + 2) < 0.25 THEN 'minor' WHEN abs(off - 3) < 0.25 THEN 'thousand' WHEN abs(off - 6) < 0.25 THEN 'million' END AS scale FROM o
+  UNION ALL SELECT row_id, 'pledged', pledged, exact, code, CASE WHEN NOT exact THEN scale WHEN abs(off - 2) < 0.25 THEN 'minor' WHEN abs(off + 3) < 0.25 THEN 'thousand' WHEN abs(off + 6) < 0.25 THEN 'million' END FROM o)
+SELECT row_id, field_name, unit_id FROM l JOIN money_units ON code = currency_code AND scale = scale_name WHERE v IS NOT NULL""",
     "p4_found": f"""WITH c AS (SELECT row_id, platform, {pid('id')} AS pid, crawled_at, {', '.join(_FIELDS)} FROM combined_all_columns), l AS ({_LONG})
 SELECT m.row_id, m.field_name, coalesce(arg_min(h.row_id, struct_pack(d := abs(epoch_us(h.crawled_at) - epoch_us(m.crawled_at)), r := h.row_id)), -1) AS from_row_id
 FROM (SELECT * FROM l WHERE gone) m LEFT JOIN (SELECT * FROM l WHERE NOT gone AND pid IS NOT NULL) h ON m.platform = h.platform AND m.pid = h.pid AND m.field_name = h.field_name GROUP BY m.row_id, m.field_name""",
