@@ -30,7 +30,7 @@ CASES = [
     # only spoken of, code, nothing
     ("Our party game is called Error 404 and every card is a page that nobody finds.", None), ("Access denied was the working title of our heist game.", None), ("The board runs plain JavaScript, so you need no other tools.", None),
     ("The notebook opens with a lorem ipsum sampler that letterers know.", None), ("Our tool turns tags such as {{title}} into finished pages.", None), ("For (let i = 0; i < 9; i++) { led[i].on(); } is all you need.", None),
-    ("[Edit: the second goal was reached in March!]", None), ("(insert drum roll here) we did it!", None), ("We <3 our 9 backers, and 5% of it goes on.", None), ("Give us just a moment of your time.", None), ("Todo lists are boring.", None), ("We made <b>it at home.", None), (None, None), ("", None), (" \n ", None),
+    ("[Edit: the second goal was reached in March!]", None), ("(insert drum roll here) we did it!", None), ("We <3 our 9 backers, and 5% of it goes on.", None), ("Give us just a moment of your time.", None), ("Todo lists are boring.", None), ("We made <b>it at home.", None), ("Our tool turns tags such as\n{{title}} into finished pages,\nwhich we like.", None), (None, None), ("", None), (" \n ", None),
     ("word " * 40000, None),
 ]
 
