@@ -206,6 +206,11 @@ def slope_difference(a: Fit, b: Fit, term: str) -> tuple[float, float, float]:
     return d, z, normal_p(z)
 
 
+def verdict(p: float, alpha: float = 0.05) -> str:
+    """`changed` if p is below alpha, else `no change found` (N8); a p that isn't a number decides nothing."""
+    return "undecided" if math.isnan(p) else "changed" if p < alpha else "no change found"
+
+
 def mediation(df: DataFrame, treat: str, mediator: str, outcome: str, controls: list[str], key: str, draws: int = 200, seed: int = 2025) -> DataFrame:
     """acme (a x b), ade, total, and for acme the bootstrap's 95 % limits and p.
 

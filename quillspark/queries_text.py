@@ -285,6 +285,17 @@ def log_tipping_point(spark: SparkSession, d: str) -> DataFrame:
     return L.tipping_point(_sessions(spark, d), "user_id")
 
 
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n_events, round(epoch(max(ts) - min(ts)) / 3600, 6) AS hours, round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 4) AS total_sleep FROM events GROUP BY 1")
+def log_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Events, hours and sleep of each log."""
+    e = table(spark, d, "events")
+    secs = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    return e.groupBy("user_id").agg(
+        F.count("*").alias("n_events"), F.round((secs(F.max("ts")) - secs(F.min("ts"))) / 3600, 6).alias("hours"),
+        F.round(F.coalesce(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0)), 4).alias("total_sleep"),
+    )
+
+
 @query("SELECT CAST(floor(value) AS BIGINT) AS seconds, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def log_sleep_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Sleeps by their length."""
@@ -390,6 +401,16 @@ def mediation_paths(spark: SparkSession, d: str) -> DataFrame:
     return E.mediation(_sample(spark, d), "t", "m", "y", [], "doc_id", draws=1).select(F.round("acme", 4).alias("acme"), F.round("ade", 4).alias("ade"))
 
 
+@query()
+def slope_change(spark: SparkSession, d: str) -> DataFrame:
+    """Two samples' slopes, the z of their difference, its p and the verdict; without SQL."""
+    ship_package(spark)
+    x = saved(_sample(spark, d))
+    a, b = (E.ols(x.filter(F.col("post") == p), "y ~ m + quality") for p in (0, 1))
+    diff, z, p = E.slope_difference(a, b, "m")
+    return spark.createDataFrame([(diff, z, p, E.verdict(p))], "difference double, z double, p double, verdict string")
+
+
 @query()
 def mediation_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """The same with a bootstrap's limits; without SQL."""
