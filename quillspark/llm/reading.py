@@ -144,12 +144,13 @@ def english_sentences(text: str, common: dict[str, frozenset[str]], every: froze
     for u, _ in us:
         total += weight(u)
         for s in sentences(u):
-            words = [w.lower() for w in WORD.findall(s)]
+            own = WORD.findall(s)
+            words = [w.lower() for w in own]
             letters += len(words)
             shared = [w for w in words if w in every]
             for k, v in common.items():
-                hits[k] += sum(1 for w in shared if w in v)
-            if words and (is_sentence(s, every, words) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every)):
+                hits[k] += sum([w in v for w in shared])
+            if words and (is_sentence(s, every, own, len(shared)) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every)):
                 out.append(words)
                 inside += weight(s)
     best = max(hits, key=lambda k: (hits[k], k == "en")) if hits else "en"

@@ -48,7 +48,7 @@ def cjk_count(s: str) -> int:
     return 0 if s.isascii() else len(CJK.findall(s))
 
 
-def is_sentence(s: str, common: frozenset[str], words: list[str] | None = None) -> bool:
+def is_sentence(s: str, common: frozenset[str], words: list[str] | None = None, known: int | None = None) -> bool:
     """Whether a piece of text reads as a sentence: it ends as one (or is a long clause), is made of words, and
     has some, but not only, common words."""
     n = len(s)
@@ -58,7 +58,7 @@ def is_sentence(s: str, common: frozenset[str], words: list[str] | None = None)
     words = WORD.findall(s) if words is None else words
     if len(words) < 3 or sum(map(len, words)) * 2 < n - s.count(" "):
         return False
-    known = sum(1 for w in words if w.lower() in common)
+    known = sum(1 for w in words if w.lower() in common) if known is None else known
     share = known / len(words)
     if len(words) >= 8 and share > 0.85 or len(words) >= 15 and share < 0.06:
         return False
