@@ -28,7 +28,8 @@ def document_stats(text: str, common: dict[str, frozenset[str]], every: frozense
     """The language (by common words, or by script) and the statistics of one text."""
     us = units(text)
     chars = sum(weight(u) for u, _ in us)
-    words: list[str] = []
+    lower: list[str] = []
+    shared: list[str] = []
     in_sentences = punct = n_sent = sent_words = letters = 0
     for u, _ in us:
         size = weight(u)
@@ -36,16 +37,17 @@ def document_stats(text: str, common: dict[str, frozenset[str]], every: frozense
             punct += size
         for s in sentences(u):
             w = CJK.findall(s) if cjk_count(s) * 2 > len(s) else WORD.findall(s)
-            words += w
+            low = [x.lower() for x in w]
+            near = [x for x in low if x in every]
+            lower += low
+            shared += near
             letters += sum(map(len, w))
-            if is_sentence(s, every, w):
+            if is_sentence(s, every, w, len(near)):
                 in_sentences += weight(s)
                 n_sent += 1
                 sent_words += len(w)
-    lower = [w.lower() for w in words]
     n = len(lower)
-    shared = [w for w in lower if w in every]
-    hits = {k: sum(1 for w in shared if w in v) for k, v in common.items()}
+    hits = {k: sum([w in v for w in shared]) for k, v in common.items()}
     if n and not text.isascii() and sum(1 for w in lower if len(w) == 1 and CJK.match(w)) * 2 > n:
         lang, known = "ja", sum(1 for w in lower if "ぁ" <= w <= "ん")
     else:
@@ -54,7 +56,7 @@ def document_stats(text: str, common: dict[str, frozenset[str]], every: frozense
         if known < 0.08 * n or known == 0:
             lang = "und"
     chars = max(chars, 1)
-    digits = sum(1 for c in text if c.isdigit())
+    digits = sum(map(str.isdigit, text))
     return (
         lang,
         math.log1p(n),
