@@ -24,12 +24,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return template_residue(table(spark, d, "stories")).filter("is_residue").select("story_row_id")
+    return template_residue(table(spark, d, "stories"), subtract=False).filter("is_residue").select("story_row_id")
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Every row of stories with what it shows instead of a story."""
-    return template_residue(table(spark, d, "stories"))
+    return template_residue(table(spark, d, "stories"), subtract=False)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Template residue and error-page text.
 
-Normalised lines are counted by host, lines that recur there are boilerplate and are subtracted, and a
-record is excluded if what is left shows an error page, an unfilled slot, filler text or a notice that
-scripts are needed.
-
-Lines that hold no evidence can't change a verdict, so only lines with evidence are counted and joined;
-the count of a line doesn't depend on the other lines.  An error page's own words ("Access denied") recur
-as well: lines that are nothing but evidence are never boilerplate, only lines in which evidence stands
-among other words are.
+A record is excluded if it shows an error page, an unfilled slot, filler text or a notice that scripts are
+needed.  An unfilled slot is one however often its line occurs: a template copied into many records is
+unfilled in each of them.
+
+On request (`subtract`), lines with a slot that recur in different texts of a host are taken for its
+boilerplate instead and don't count.  Lines that hold no evidence can't change a verdict, so only lines with
+evidence are counted and joined.  An error page's own words ("Access denied") recur as well: lines that are
+nothing but evidence are never boilerplate, only lines in which evidence stands among other words are.
 """
 
 from __future__ import annotations
@@ -138,14 +138,18 @@ def template_residue(
     min_records: int = 20,
     min_share: float = 0.0005,
     carry: dict[str, Column] | None = None,
+    subtract: bool = True,
 ) -> DataFrame:
     """df's key with kind (`error`, `browser_check`, `script_notice`, `filler`, `slot` or null) and is_residue.
 
-    A line with a slot among at least three other words is boilerplate of its host if it is in at least
-    `min_records` records and `min_share` of the host's; it is subtracted.  Null and blank texts have no
-    residue.  A row comes out once for every time it comes in; keys that repeat are told apart by nothing
-    else, so their verdicts are joined (each is residue if one is).  A null host is a host of its own.
-    `carry` adds columns; they may use the normalised text, `_t`.
+    Null and blank texts have no residue.  A row comes out once for every time it comes in.  `carry` adds
+    columns; they may use the normalised text, `_t`.  Without `subtract` a row's verdict depends on its own
+    text alone.
+
+    With `subtract`, a line with a slot among at least three other words is boilerplate of its host if it is in
+    at least `min_records` different texts and their number is `min_share` of the host's records; copies of a
+    text count once.  Keys that repeat are told apart by nothing else then, so their verdicts are joined (each
+    is residue if one is).  A null host is a host of its own.
     """
     carry = carry or {}
     x = df.withColumns({"_host": F.col(host), "_t": normalised(F.col(text))})
@@ -164,11 +168,14 @@ def template_residue(
     x = x.select(
         key, "_host", *[c.alias(n) for n, c in carry.items()],
         F.when(F.col("_t").isNull(), None).otherwise(F.coalesce(whole, F.when(run, "filler"))).alias("_kind"),
-        F.when(may_slot, slot_lines(F.col("_t"))).alias("_slots"),
+        F.when(may_slot, slot_lines(F.col("_t"))).alias("_slots"), *([F.when(may_slot, F.md5("_t")).alias("_text")] if subtract else []),
     )
     x = saved(x)  # the texts are read and searched once; what follows needs only keys and slot lines
-    lines = x.filter(F.size("_slots") > 0).select("_host", F.explode("_slots").alias("_line")).filter(F.size(F.split("_line", " ")) >= 4)
-    counts = lines.groupBy("_host", "_line").agg(F.count("*").alias("_n"))
+    if not subtract:
+        kind = F.coalesce("_kind", F.when(F.size("_slots") > 0, "slot"))
+        return x.select(key, *carry, kind.alias("kind"), kind.isNotNull().alias("is_residue"))
+    lines = x.filter(F.size("_slots") > 0).select("_host", "_text", F.explode("_slots").alias("_line")).filter(F.size(F.split("_line", " ")) >= 4)
+    counts = lines.distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n"))  # a copied text counts once
     sizes = df.groupBy(F.col(host).alias("_h")).agg(F.count("*").alias("_all"))
     recurrent = (
         counts.filter(F.col("_n") >= min_records)

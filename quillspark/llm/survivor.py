@@ -51,7 +51,7 @@ def story_features(stories: DataFrame) -> DataFrame:
         "no_throttled": F.col("is_throttled").isNull(),
         "no_cloudflare": F.col("cloudflare_detected").isNull(),
     }
-    x = template_residue(stories, carry=carry)
+    x = template_residue(stories, carry=carry, subtract=False)
     x = x.filter(F.col("platform").isNotNull() & F.col("project_id").isNotNull())
     return x.withColumn("usable", F.when(F.col("is_residue") | F.col("blank"), 0).otherwise(1))
 

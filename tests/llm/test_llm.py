@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.keys import project_number
 from quillspark.llm import packing, reading, units
 from quillspark.llm.bpe import ByteToText, Transducer, decode, encode_corpus, load_ranks
+from quillspark.llm.queries import QUERIES
 from quillspark.llm.residue import template_residue
 from quillspark.llm.survivor import filled_survivors, survivors
 from quillspark.llm.textstats import STATS, text_quality
@@ -51,6 +52,20 @@ def test_recurrent_lines_of_a_host_are_subtracted(spark):
     assert got[99] == "slot" and all(got[i] is None for i in range(30))
 
 
+def test_slots_copied_into_many_rows_stay_cases(spark, tmp_path):
+    copied = "We are {{ your_story }} and this is our campaign."
+    texts = [copied if i % 3 == 0 else f"Story {i}.\n\n{copied}" if i % 3 == 1 else f"Our lamp {i} is made of oak." for i in range(180)]
+    rows = [(i, "h", str(i // 3), t, False, None, dt.datetime(2020, 1, 1)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "story_row_id long, platform string, id string, story_content string, is_throttled boolean, cloudflare_detected boolean, scraped_at timestamp_ntz")
+    df.write.parquet(f"{tmp_path}/stories.parquet")
+    found = {r["story_row_id"] for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()}
+    assert found == {i for i in range(180) if i % 3 != 2}
+    kept = {r["project_id"]: r["story_row_id"] for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()}
+    assert kept == {k: 3 * k + 2 for k in range(60)}
+    verdicts = {r["story_row_id"]: r["kind"] for r in template_residue(df.filter(df.story_content == copied)).collect()}
+    assert set(verdicts.values()) == {"slot"}  # 60 copies of one text are one text
+
+
 # ---- survivors
 def brute(rows, residue):
     text = lambda t: sum(len(x) for x in {" ".join(x.split()) for x in (t or "").split("\n")})
