@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions.keys import project_number
 from .operators import tables as T
+from .operators.timestamps import normalise_timestamps
 from .session import table
 from .sources import io
 
@@ -129,12 +130,27 @@ def funding_duration(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT row_id, CAST(floor((launched_at - epoch(try_strptime(created_at, '%Y-%m-%dT%H:%M:%SZ'))) / 86400) AS BIGINT) AS preparation_days
 FROM combined_all_columns WHERE launched_at BETWEEN 1000000000 AND 9999999999 AND regexp_matches(created_at, '{ISO[:-1]}Z$')""")
 def preparation_time(spark: SparkSession, d: str) -> DataFrame:
-    """Launch minus creation, for rows that give both in the plain form."""
+    """Launch minus creation, for rows that give both in the plain form; preparation_time_all has every row."""
     c = table(spark, d, "combined_all_columns").filter(F.col("launched_at").between(1000000000, 9999999999) & F.col("created_at").rlike(ISO[:-1] + "Z$"))
     made = F.unix_seconds(F.col("created_at").try_cast("timestamp"))
     return c.select("row_id", T.whole_days(F.col("launched_at"), made).alias("preparation_days"))
 
 
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    """row_id and preparation_days of every row, from the instants of all spellings; null where one tells none."""
+    c = table(spark, d, "combined_all_columns")
+    x = normalise_timestamps(c, ["created_at", "launched_at"], table(spark, d, "crawl_sources"))
+    at = lambda f: F.max(F.when(F.col("field_name") == f, F.col("epoch_s")))
+    g = x.groupBy("row_id").agg(at("launched_at").alias("launched"), at("created_at").alias("made"))
+    return g.select("row_id", T.whole_days(F.col("launched"), F.col("made")).alias("preparation_days"))
+
+
+@query()
+def preparation_time_all(spark: SparkSession, d: str) -> DataFrame:
+    """Launch minus creation for every row, null where created_at or launched_at tells no instant; without SQL."""
+    return _prepared(spark, d)
+
+
 @query(f"""SELECT platform, currency, CAST(count(*) AS BIGINT) AS n, CAST(count_if(percent_funded >= 100) AS BIGINT) AS n_success FROM combined_all_columns
 WHERE currency = 'USD' AND {nn('pledged')} > 0 AND story_content IS NOT NULL AND platform = 'Kickstarter' AND {_WALL} IS NOT NULL GROUP BY ALL""")
 def analysis_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from quillspark.operators import evaluation as V
 from quillspark.operators import eventlog as L
 from quillspark.operators import scoring as S
 from quillspark.operators import tables as B
+from quillspark.queries_tables import QUERIES
 from quillspark.sources import io
 from quillspark.streaming import incremental as I
 
@@ -230,3 +231,14 @@ def test_months_and_batches(spark):
     b = B.batches(spark.range(25), "id", 10).groupBy("batch").count().orderBy("batch").collect()
     assert [(r["batch"], r["count"]) for r in b] == [(1, 10), (2, 10), (3, 5)]
     assert math.isclose(one(spark, None, B.log_floor(F.col("x"), True), "double"), 0.0) and one(spark, None, B.log_floor(F.col("x")), "double") is None
+
+
+def test_preparation_time_of_every_row(spark, tmp_path):
+    rows = [
+        (1, "s", "2021-03-04T05:06:07Z", 1614920767), (2, "s", "2021-03-04T05:06:07+02:00", 1614920767), (3, "s", "2021-03-04 05:06:07", 1614920767), (4, "s", "2021-03-04T05:06:07.250Z", 1614920767123),
+        (5, "s", "N/A", 1614920767), (6, "s", None, 1614920767), (7, "s", "2021-03-04T05:06:07Z", None), (8, None, "2021-03-04 05:06:07", 1614920767), (9, None, "2021-03-06T05:06:08Z", 1614920767), (10, "s", "1614834367", 1614920766),
+    ]
+    spark.createDataFrame(rows, "row_id long, source_url string, created_at string, launched_at long").write.parquet(f"{tmp_path}/combined_all_columns.parquet")
+    spark.createDataFrame([("s", "Asia/Tokyo", True)], "source_url string, time_zone string, day_first boolean").write.parquet(f"{tmp_path}/crawl_sources.parquet")
+    got = {r["row_id"]: r["preparation_days"] for r in QUERIES["preparation_time_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: None, 6: None, 7: None, 8: None, 9: -2, 10: 0}
