@@ -95,13 +95,35 @@ def wall_clock() -> Column:
     return F.when(bare.rlike(ISO), bare.try_cast("timestamp_ntz"))
 
 
+ISO_ANY = r"^\s*(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
+
+
+def wall_clock_iso() -> Column:
+    """The same for all forms of ISO 8601: blank or T, fractions (to microseconds), no seconds, a date alone (its
+    midnight), without hyphens and colons, offsets of all forms; other spellings are null."""
+    g = lambda i: F.regexp_extract("created_at", ISO_ANY, i)
+    or0 = lambda c: F.when(c == "", "00").otherwise(c)
+    text = F.concat(F.concat_ws("-", g(1), g(3), g(4)), F.lit(" "), F.concat_ws(":", or0(g(5)), or0(g(6)), or0(g(7))), F.when(g(8) != "", F.concat(F.lit("."), g(8))).otherwise(""))
+    return F.when(F.col("created_at").rlike(ISO_ANY), text.try_cast("timestamp_ntz"))
+
+
 @query(f"""WITH c AS (SELECT row_id, platform, {_WALL} AS t FROM combined_all_columns)
 SELECT row_id, CAST(coalesce(t > TIMESTAMP '2022-11-30 00:00:00', false) AS INTEGER) AS post, CAST(coalesce(platform = 'Indiegogo', false) AS INTEGER) AS indiegogo,
  CAST(coalesce(t > TIMESTAMP '2022-11-30 00:00:00', false) AND coalesce(platform = 'Indiegogo', false) AS INTEGER) AS post_indiegogo,
  CAST(month(t) AS INTEGER) AS month, CAST(year(t) AS INTEGER) AS year, strftime(t, '%Y-%m') AS month_year FROM c""")
 def treatment_flags(spark: SparkSession, d: str) -> DataFrame:
     """After the cutoff (a parameter), by platform, and parts of the date."""
-    c = table(spark, d, "combined_all_columns").select("row_id", "platform", wall_clock().alias("t"))
+    return _flags(spark, d, wall_clock())
+
+
+@query()
+def treatment_flags_iso(spark: SparkSession, d: str) -> DataFrame:
+    """The same from all forms of ISO 8601; without SQL."""
+    return _flags(spark, d, wall_clock_iso())
+
+
+def _flags(spark: SparkSession, d: str, clock: Column) -> DataFrame:
+    c = table(spark, d, "combined_all_columns").select("row_id", "platform", clock.alias("t"))
     post = F.coalesce(F.col("t") > F.lit("2022-11-30 00:00:00").cast("timestamp_ntz"), F.lit(False)).cast("int")
     ig = F.coalesce(F.col("platform") == "Indiegogo", F.lit(False)).cast("int")
     return c.select("row_id", post.alias("post"), ig.alias("indiegogo"), (post * ig).alias("post_indiegogo"), F.month("t").alias("month"), F.year("t").alias("year"), F.date_format("t", "yyyy-MM").alias("month_year"))
@@ -155,8 +177,18 @@ def preparation_time_all(spark: SparkSession, d: str) -> DataFrame:
 WHERE currency = 'USD' AND {nn('pledged')} > 0 AND story_content IS NOT NULL AND platform = 'Kickstarter' AND {_WALL} IS NOT NULL GROUP BY ALL""")
 def analysis_sample(spark: SparkSession, d: str) -> DataFrame:
     """The rows that the models use, and how many succeeded."""
+    return _analysed(spark, d, wall_clock())
+
+
+@query()
+def analysis_sample_iso(spark: SparkSession, d: str) -> DataFrame:
+    """The same from all forms of ISO 8601; without SQL."""
+    return _analysed(spark, d, wall_clock_iso())
+
+
+def _analysed(spark: SparkSession, d: str, clock: Column) -> DataFrame:
     c = table(spark, d, "combined_all_columns")
-    c = c.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & (F.col("platform") == "Kickstarter")).na.drop(subset=["story_content"]).filter(wall_clock().isNotNull())
+    c = c.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & (F.col("platform") == "Kickstarter")).na.drop(subset=["story_content"]).filter(clock.isNotNull())
     return c.groupBy("platform", "currency").agg(F.count("*").alias("n"), F.count_if(F.col("percent_funded") >= 100).alias("n_success"))
 
 
@@ -338,7 +370,17 @@ def batch_counters(spark: SparkSession, d: str) -> DataFrame:
  CAST(count_if(t IS NOT NULL AND story_content IS NOT NULL) AS BIGINT) AS usable, min(t) AS first_date, max(t) AS last_date FROM c""")
 def quality_audit(spark: SparkSession, d: str) -> DataFrame:
     """H9: what is missing, in one pass."""
-    c = table(spark, d, "combined_all_columns").select(wall_clock().alias("t"), "created_at", F.col("story_content").isNull().alias("no"))
+    return _audit(spark, d, wall_clock())
+
+
+@query()
+def quality_audit_iso(spark: SparkSession, d: str) -> DataFrame:
+    """The same from all forms of ISO 8601; without SQL."""
+    return _audit(spark, d, wall_clock_iso())
+
+
+def _audit(spark: SparkSession, d: str, clock: Column) -> DataFrame:
+    c = table(spark, d, "combined_all_columns").select(clock.alias("t"), "created_at", F.col("story_content").isNull().alias("no"))
     t = F.col("t").isNull()
     return c.agg(
         F.count("*").alias("n"), F.count_if(F.col("created_at").isNull()).alias("null_dates"), F.count_if(F.col("created_at").isNotNull() & t).alias("other_dates"),

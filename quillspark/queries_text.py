@@ -15,7 +15,7 @@ from .operators import scoring as S
 from .operators import tables as T
 from .operators import windows as W
 from .plans import pipelines as P
-from .queries_tables import pid, wall_clock
+from .queries_tables import pid, wall_clock_iso
 from .session import saved, ship_package, spread
 from .session import table as read_table
 from .streaming import incremental as I
@@ -424,7 +424,7 @@ def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     c = table(spark, d, "combined_all_columns")
     goal = T.impute_goal(F.col("platform"), F.col("goal"), F.col("pledged"), F.col("funds_raised_percent"))
-    x = T.unify_category(c).withColumns({"t": wall_clock(), "g": goal, "pct": T.funding_percent(F.col("platform"), F.col("percent_funded"), F.col("funds_raised_percent"))})
+    x = T.unify_category(c).withColumns({"t": wall_clock_iso(), "g": goal, "pct": T.funding_percent(F.col("platform"), F.col("percent_funded"), F.col("funds_raised_percent"))})
     x = x.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & F.col("t").isNotNull() & F.col("story_content").isNotNull())
     f = X.linguistic_features(F.col("story_content"), _STOP)
     x = X.text_arrays(x, F.col("story_content"))

@@ -14,7 +14,7 @@ from quillspark.operators import evaluation as V
 from quillspark.operators import eventlog as L
 from quillspark.operators import scoring as S
 from quillspark.operators import tables as B
-from quillspark.queries_tables import QUERIES
+from quillspark.queries_tables import QUERIES, wall_clock_iso
 from quillspark.sources import io
 from quillspark.streaming import incremental as I
 
@@ -233,6 +233,15 @@ def test_months_and_batches(spark):
     assert math.isclose(one(spark, None, B.log_floor(F.col("x"), True), "double"), 0.0) and one(spark, None, B.log_floor(F.col("x")), "double") is None
 
 
+@pytest.mark.parametrize("text,want", [
+    ("2021-03-04T05:06:07Z", "2021-03-04 05:06:07"), ("2021-03-04 05:06:07", "2021-03-04 05:06:07"), ("2021-03-04T05:06:07.123456789+02:00", "2021-03-04 05:06:07.123456"), ("2021-03-04T05:06:07.250", "2021-03-04 05:06:07.25"), ("2021-03-04", "2021-03-04 00:00:00"),
+    ("20210304T050607Z", "2021-03-04 05:06:07"), ("2021-03-04 05:06:07 -0500", "2021-03-04 05:06:07"), ("2021-03-04T05:06", "2021-03-04 05:06:00"), ("2021-13-04", None), ("1614834367", None), ("2021/03/04 05:06:07", None), ("N/A", None), (None, None),
+])
+def test_wall_clock_of_all_iso_forms(spark, text, want):
+    df = spark.createDataFrame([(text,)], "created_at string")
+    assert df.select(wall_clock_iso().cast("string").alias("t")).first()["t"] == want
+
+
 def test_preparation_time_of_every_row(spark, tmp_path):
     rows = [
         (1, "s", "2021-03-04T05:06:07Z", 1614920767), (2, "s", "2021-03-04T05:06:07+02:00", 1614920767), (3, "s", "2021-03-04 05:06:07", 1614920767), (4, "s", "2021-03-04T05:06:07.250Z", 1614920767123),
