@@ -186,14 +186,21 @@ LADDER = [
     "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT + ai_score*PostGPT + log_goal + word_count + C(category_unified) + C(year):C(month)",
 ]
 
+#: Those of the rows that succeeded: M4 and M5 leave out terms.
+LADDER_SUCCESSFUL = [
+    *LADDER[:3],
+    "{y} ~ indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count + C(category_unified) + C(year):C(month)",
+    "{y} ~ text_quality*PostGPT + PostGPT + ai_score*PostGPT + log_goal + C(category_unified) + word_count + C(year):C(month)",
+]
+
 
-def ladder(df: DataFrame, outcome: str = "log_pledged_amount", formulas: list[str] = LADDER) -> DataFrame:
-    """Coefficients of nested models with stars (N2, N3): model, term, coef, se, t, p, stars."""
+def ladder(df: DataFrame, outcome: str = "log_pledged_amount", formulas: list[str] = LADDER, name: str = "M") -> DataFrame:
+    """Coefficients of nested models with stars (N2, N3): model (`name` and a number), term, coef, se, t, p, stars."""
     from ..functions.text import stars
 
     out = None
     for i, f in enumerate(formulas, 1):
-        one = ols(df, f.format(y=outcome)).frame(df.sparkSession, f"M{i}")
+        one = ols(df, f.format(y=outcome)).frame(df.sparkSession, f"{name}{i}")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("stars", stars(F.col("p")))
 

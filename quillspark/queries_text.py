@@ -420,7 +420,8 @@ def mediation_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Nested models on the campaigns, both platforms, with stars; without SQL (see the closed forms)."""
+    """Nested models on the campaigns, both platforms, with stars: M1-M5 on all, successful M1-M5 on those
+    that succeeded; without SQL (see the closed forms)."""
     ship_package(spark)
     c = table(spark, d, "combined_all_columns")
     goal = T.impute_goal(F.col("platform"), F.col("goal"), F.col("pledged"), F.col("funds_raised_percent"))
@@ -432,8 +433,10 @@ def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
         F.round(T.log_floor(F.col("pct") / 100 * F.col("g"), True), 9).alias("log_pledged_amount"), T.log_floor(F.when(F.col("g") > 0, F.col("g"))).alias("log_goal"),
         X.simple_quality(F.col("story_content")).alias("text_quality"), X.word_count(F.col("story_content")).alias("word_count"), F.month("t").alias("month"), F.year("t").alias("year"), "category_unified",
         (F.col("t") > F.lit("2022-11-30 00:00:00").cast("timestamp_ntz")).cast("int").alias("PostGPT"), (F.col("platform") == "Indiegogo").cast("int").alias("indiegogo"), X.ai_score(f).alias("ai_score"),
+        T.success(F.col("pct"), F.col("state")).alias("success"),
     )
-    return E.ladder(saved(x))
+    x = saved(x)
+    return E.ladder(x).unionByName(E.ladder(x.filter("success = 1"), formulas=E.LADDER_SUCCESSFUL, name="successful M"))
 
 
 # ---- windows over time and joins the study lacks (P)

@@ -15,6 +15,7 @@ from quillspark.operators import eventlog as L
 from quillspark.operators import scoring as S
 from quillspark.operators import tables as B
 from quillspark.queries_tables import QUERIES, wall_clock_iso
+from quillspark.queries_text import QUERIES as QUERIES_TEXT
 from quillspark.sources import io
 from quillspark.streaming import incremental as I
 
@@ -233,6 +234,16 @@ def test_months_and_batches(spark):
     assert math.isclose(one(spark, None, B.log_floor(F.col("x"), True), "double"), 0.0) and one(spark, None, B.log_floor(F.col("x")), "double") is None
 
 
+def test_ladder_of_the_successful(spark, data):
+    terms = {}
+    for r in QUERIES_TEXT["ols_ladder"](spark, f"{data}/sf0.01").collect():
+        terms.setdefault(r["model"], set()).add(r["term"])
+    assert set(terms) == {f"{s}M{i}" for s in ("", "successful ") for i in range(1, 6)}
+    four, five = terms["successful M4"], terms["successful M5"]
+    assert {"indiegogo", "text_quality:PostGPT", "indiegogo:PostGPT"} <= four and "text_quality:indiegogo" not in four
+    assert {"ai_score", "ai_score:PostGPT" if "ai_score:PostGPT" in five else "PostGPT:ai_score", "text_quality"} <= five and not any("indiegogo" in t for t in five)
+
+
 @pytest.mark.parametrize("text,want", [
     ("2021-03-04T05:06:07Z", "2021-03-04 05:06:07"), ("2021-03-04 05:06:07", "2021-03-04 05:06:07"), ("2021-03-04T05:06:07.123456789+02:00", "2021-03-04 05:06:07.123456"), ("2021-03-04T05:06:07.250", "2021-03-04 05:06:07.25"), ("2021-03-04", "2021-03-04 00:00:00"),
     ("20210304T050607Z", "2021-03-04 05:06:07"), ("2021-03-04 05:06:07 -0500", "2021-03-04 05:06:07"), ("2021-03-04T05:06", "2021-03-04 05:06:00"), ("2021-13-04", None), ("1614834367", None), ("2021/03/04 05:06:07", None), ("N/A", None), (None, None),
