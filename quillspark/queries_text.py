@@ -413,9 +413,12 @@ def slope_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mediation_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """The same with a bootstrap's limits; without SQL."""
+    """What goes through quality, before and after apart, with the limits of 1,000 draws; without SQL.  The
+    treatment is the stand-in `t` of the sample, not preparation_time."""
     ship_package(spark)
-    return E.mediation(saved(_sample(spark, d)), "post", "quality", "y", ["m"], "doc_id", draws=200)
+    x = saved(_sample(spark, d))
+    one = lambda p: E.mediation(x.filter(F.col("post") == p), "t", "quality", "y", ["m"], "doc_id", draws=1000).withColumn("post", F.lit(p))
+    return one(0).unionByName(one(1))
 
 
 @query()

@@ -234,6 +234,13 @@ def test_months_and_batches(spark):
     assert math.isclose(one(spark, None, B.log_floor(F.col("x"), True), "double"), 0.0) and one(spark, None, B.log_floor(F.col("x")), "double") is None
 
 
+def test_mediation_before_and_after_apart(spark, data):
+    got = QUERIES_TEXT["mediation_bootstrap"](spark, f"{data}/sf0.01").collect()
+    assert sorted(r["post"] for r in got) == [0, 1]
+    for r in got:
+        assert r["low"] <= r["high"] and abs(r["p"] * 500 - round(r["p"] * 500)) < 1e-6  # steps of 2 in 1,000
+
+
 def test_ladder_of_the_successful(spark, data):
     terms = {}
     for r in QUERIES_TEXT["ols_ladder"](spark, f"{data}/sf0.01").collect():
