@@ -52,9 +52,19 @@ def _std(cols: list[str], platform: str) -> str:
 @query(_std(KS, "Kickstarter") + " UNION ALL " + _std(IG, "Indiegogo"))
 def standardize_union(spark: SparkSession, d: str) -> DataFrame:
     """Two sources under one schema.  The amounts are left to other queries: engines spell doubles differently."""
+    return _standardised(spark, d).drop("pledged_amount", "goal_amount")
+
+
+@query()
+def standardize_union_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole schema, both amounts as doubles; without SQL."""
+    return _standardised(spark, d).withColumns({c: F.col(c).cast("double") for c in ("pledged_amount", "goal_amount")})
+
+
+def _standardised(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "combined_all_columns")
     parts = [T.standardise(c.filter(F.col("platform") == p), dict(zip(TARGETS, cols)), p) for p, cols in (("Kickstarter", KS), ("Indiegogo", IG))]
-    return T.union_all(*parts).drop("pledged_amount", "goal_amount")
+    return T.union_all(*parts)
 
 
 @query(rf"""SELECT row_id, regexp_replace(id, '\.0$', '') AS clean_id, {pid('id')} AS project_id, TRY_CAST(replace(deadline, '%', '') AS BIGINT) AS deadline_number

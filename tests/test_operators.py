@@ -234,6 +234,13 @@ def test_months_and_batches(spark):
     assert math.isclose(one(spark, None, B.log_floor(F.col("x"), True), "double"), 0.0) and one(spark, None, B.log_floor(F.col("x")), "double") is None
 
 
+def test_union_keeps_the_amounts(spark, data):
+    got = QUERIES["standardize_union_amounts"](spark, f"{data}/sf0.001").select("platform", "pledged_amount", "goal_amount")
+    want = spark.read.parquet(f"{data}/sf0.001/combined_all_columns.parquet").filter("platform in ('Kickstarter', 'Indiegogo')").select("platform", "pledged", "goal")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert dict(got.dtypes)["goal_amount"] == "double"
+
+
 def test_mediation_before_and_after_apart(spark, data):
     got = QUERIES_TEXT["mediation_bootstrap"](spark, f"{data}/sf0.01").collect()
     assert sorted(r["post"] for r in got) == [0, 1]
