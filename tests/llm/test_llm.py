@@ -45,13 +45,6 @@ def test_residue_cases(spark):
     assert template_residue(df.unionByName(df.limit(1))).count() >= len(CASES)
 
 
-def test_recurrent_lines_of_a_host_are_subtracted(spark):
-    rows = [(i, "h", f"Write to {{{{contact}}}} for help with it.\n\nStory {i}.", 1) for i in range(30)] + [(99, None, "Write to {{contact}} for help with it.", 1)]
-    df = spark.createDataFrame(rows, "story_row_id long, platform string, story_content string, x int")
-    got = {r["story_row_id"]: r["kind"] for r in template_residue(df).collect()}
-    assert got[99] == "slot" and all(got[i] is None for i in range(30))
-
-
 def test_slots_copied_into_many_rows_stay_cases(spark, tmp_path):
     copied = "We are {{ your_story }} and this is our campaign."
     texts = [copied if i % 3 == 0 else f"Story {i}.\n\n{copied}" if i % 3 == 1 else f"Our lamp {i} is made of oak." for i in range(180)]
