@@ -14,15 +14,19 @@ HIRAGANA = re.compile(r"[ぁ-ん]")
 CJK = re.compile(r"[ぁ-んァ-ヶー一-龥々]")
 
 
-def units(text: str) -> list[tuple[str, bool]]:
-    """(unit, is a list item): paragraphs with broken lines joined again, and list items, white space as one blank."""
+def units(text: str, notes: bool = False) -> list[tuple[str, bool]]:
+    """(unit, is a list item): paragraphs with broken lines joined again, and list items, white space as one blank.
+
+    With `notes`, short lines are a list without marks even if a sentence stands on the first or the last line."""
     out: list[tuple[str, bool]] = []
     open_par: list[str] = []
 
     def close() -> None:
         # short lines that no sentence ends are a list without marks, else they are one broken text
-        if len(open_par) >= 3 and sum(map(weight, open_par)) <= 22 * len(open_par) and not any(ENDS.search(x) for x in open_par):
-            out.extend((x, True) for x in open_par)
+        ends = [i for i, x in enumerate(open_par) if ENDS.search(x)] if len(open_par) >= 3 else []
+        inner = [x for i, x in enumerate(open_par) if i not in ends] if notes and set(ends) <= {0, len(open_par) - 1} else [] if ends else open_par
+        if len(inner) >= 3 and sum(map(weight, inner)) <= 22 * len(inner):
+            out.extend((x, i not in ends) for i, x in enumerate(open_par))
         elif open_par:
             out.append((" ".join(open_par), False))
         open_par.clear()
