@@ -42,10 +42,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def parts_of(df: DataFrame, rows: int = 200_000) -> int:
+    """In how many hashed parts to split groups, so that a part of even a group of all rows has about `rows`."""
+    return max(1, -(-df.count() // rows))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only where none is named (tests) a temporary one."""
+    """Use the folder the cluster names; a temporary one only on a local master, where all work is on one machine."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillspark-checkpoint"))
 
 
