@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import project_number
-from ..session import saved
+from ..session import parts_of, saved
 from .residue import template_residue
 
 
@@ -48,8 +48,9 @@ def story_features(stories: DataFrame) -> DataFrame:
         "n_chars": completeness(F.col("_t")),
         "blank": F.coalesce(F.btrim(F.col("_t"), F.lit(" \n")) == "", F.lit(True)),
         "scraped_at": F.col("scraped_at"),
-        "no_throttled": F.col("is_throttled").isNull(),
-        "no_cloudflare": F.col("cloudflare_detected").isNull(),
+        "is_throttled": F.col("is_throttled"),
+        "cloudflare_detected": F.col("cloudflare_detected"),
+        "no_text": F.col("_t").isNull(),
     }
     x = template_residue(stories, carry=carry)
     x = x.filter(F.col("platform").isNotNull() & F.col("project_id").isNotNull())
@@ -66,7 +67,7 @@ def _best() -> Column:
     )
 
 
-def candidates(features: DataFrame, salts: int = 64) -> DataFrame:
+def candidates(features: DataFrame, salts: int) -> DataFrame:
     """The skyline of each project, with the number of the rows it stands for in `_n` (sum it by project).
 
     A project may hold a third of all rows: parts of it, split by a hash of the row, are thinned first;
@@ -89,7 +90,7 @@ def survivors(stories: DataFrame) -> DataFrame:
     project is usable, the same policy decides among all.  Repeated rows (equal in every dimension) tie
     and the smallest story_row_id wins.
     """
-    c = candidates(story_features(stories))
+    c = candidates(story_features(stories), parts_of(stories))
     g = c.groupBy(*_GROUP).agg(
         F.sum("_n").alias("n_rows"), F.count_if(~F.col("_out")).alias("n_candidates"), F.max(F.when(~F.col("_out"), _best())).alias("_best")
     )
@@ -100,34 +101,66 @@ def peeled(df: DataFrame, part: list[str], layers: int) -> DataFrame:
     """Adds `_deep`, the layer of dominance from 1 on; what lies deeper than `layers` has layers + 1."""
     x = df.withColumn("_deep", F.lit(1))
     for i in range(1, layers + 1):  # a layer's rows stay, the rest is peeled again
-        x = x.withColumn("_out", dominated([*part, "_deep"], _FLAGS, "n_chars", "scraped_at", "story_row_id"))
+        x = x.withColumn("_out", dominated([*part, "_deep"], _FLAGS, "n_chars", "scraped_at", "_first"))
         x = x.withColumn("_deep", F.when((F.col("_deep") == i) & F.col("_out"), i + 1).otherwise(F.col("_deep")))
     return x.drop("_out")
 
 
-def filled_survivors(stories: DataFrame, layers: int = 3, salts: int = 64) -> DataFrame:
+_FIELDS = {"story_content": "_text", "is_throttled": "_throttled", "cloudflare_detected": "_cloudflare"}
+
+
+def points(features: DataFrame) -> DataFrame:
+    """Rows that are equal in every dimension as one point, so that they share a layer: its smallest id (`_first`),
+    and for each field the smallest id that has a value (`_k...`), with the value where it is small."""
+    has = {"_text": ~F.col("blank"), "_throttled": F.col("is_throttled").isNotNull(), "_cloudflare": F.col("cloudflare_detected").isNotNull()}
+    giver = lambda n: F.struct(F.col("story_row_id").alias("k"), *([] if n == "_text" else [F.col("is_throttled" if n == "_throttled" else "cloudflare_detected").alias("v")]))
+    return features.groupBy(*_GROUP, "usable", "trusted", "n_chars", "scraped_at").agg(
+        F.count("*").alias("_rows"), F.min("story_row_id").alias("_first"), *[F.min(F.when(c, giver(n))).alias(f"_k{n}") for n, c in has.items()]
+    )
+
+
+def filled_survivors(stories: DataFrame, layers: int = 3) -> DataFrame:
     """The survivors' rows with story_content, is_throttled and cloudflare_detected; nulls are filled.
 
     filled_<field> is the story_row_id that gave the value (null: nothing was filled).  A null comes from
-    the best row (by the policy) of the next layer of dominance that has the value; rows deeper than
-    `layers` come last, in the order of the policy.
+    the first layer of dominance that has the value, within it from the best row by the policy; equal rows share a
+    layer.  `layers` are peeled at a time, until every null is filled that some row of its project can fill: only
+    projects that still lack a value go on.
     """
-    f = saved(story_features(stories).drop("is_residue", "kind").withColumn("_salt", F.pmod(F.xxhash64("story_row_id"), F.lit(salts)).cast("int")))
-    # a row of the first layers of its project is in the first layers of its hashed part, and so is whatever
-    # dominates it: the rest of a part can go before the parts meet
-    x = peeled(peeled(f, [*_GROUP, "_salt"], layers).filter(F.col("_deep") <= layers), _GROUP, layers)
-    order = lambda deep: F.struct((-deep).alias("deep"), *[F.col(c) for c in ("usable", "trusted", "n_chars", "scraped_at")], (-F.col("story_row_id")).alias("k"))
-    has = {"_throttled": ~F.col("no_throttled"), "_cloudflare": ~F.col("no_cloudflare"), "_text": ~F.col("blank")}
-    near = x.groupBy(*_GROUP).agg(*[F.max(F.when(c, order(F.col("_deep")))).alias(f"{n}_near") for n, c in has.items()])
-    far = f.groupBy(*_GROUP).agg(F.count("*").alias("n_rows"), F.max(_best()).alias("_best"), *[F.max(F.when(c, order(F.lit(layers + 1)))).alias(f"{n}_far") for n, c in has.items()])
-    g = far.filter("n_rows >= 2").join(near, _GROUP)
-    pick = lambda n: (-F.greatest(f"{n}_near", f"{n}_far")["k"])
-    g = g.select(*_GROUP, (-F.col("_best.k")).alias("story_row_id"), pick("_throttled").alias("_t"), pick("_cloudflare").alias("_c"), pick("_text").alias("_x"))
-    own = stories.select("story_row_id", "story_content", "is_throttled", "cloudflare_detected", "scraped_at")
-    out = g.join(own, "story_row_id")
-    for field, src in (("story_content", "_x"), ("is_throttled", "_t"), ("cloudflare_detected", "_c")):
-        donor = stories.select(F.col("story_row_id").alias("_id"), F.col(field).alias("_v"))
-        need = F.when(F.col(field).isNull(), F.col(src))
-        out = out.withColumn("_need", need).join(donor, F.col("_need") == F.col("_id"), "left")
-        out = out.withColumn(f"filled_{field}", F.when(F.col(field).isNull(), F.col("_id"))).withColumn(field, F.coalesce(field, "_v")).drop("_need", "_id", "_v")
-    return out.drop("_t", "_c", "_x")
+    f = saved(story_features(stories).drop("is_residue", "kind"))
+    salts = parts_of(f)
+    best = F.max(F.struct(*[F.col(c) for c in ("usable", "trusted", "n_chars", "scraped_at")], (-F.col("story_row_id")).alias("k"), F.col("is_throttled").alias("t"), F.col("cloudflare_detected").alias("c"), F.col("no_text").alias("x")))
+    own = f.groupBy(*_GROUP).agg(
+        F.count("*").alias("n_rows"), best.alias("_b"), F.max(~F.col("blank")).alias("_text"), F.max(F.col("is_throttled").isNotNull()).alias("_throttled"), F.max(F.col("cloudflare_detected").isNotNull()).alias("_cloudflare"),
+    )
+    # what a survivor lacks and some other row of its project has
+    lacks = {"_text": F.col("_b.x"), "_throttled": F.col("_b.t").isNull(), "_cloudflare": F.col("_b.c").isNull()}
+    own = saved(own.filter("n_rows >= 2").select(*_GROUP, (-F.col("_b.k")).alias("story_row_id"), F.col("_b.t").alias("is_throttled"), F.col("_b.c").alias("cloudflare_detected"), F.col("_b.scraped_at").alias("scraped_at"), *[(lacks[n] & F.col(n)).alias(f"_open{n}") for n in lacks]))
+    still = own.filter("_open_text or _open_throttled or _open_cloudflare").select(*_GROUP, *[f"_open{n}" for n in lacks])
+    rest, got = points(f).join(still, _GROUP).withColumn("_salt", F.pmod(F.xxhash64("_first"), F.lit(salts)).cast("int")), None
+    while True:
+        rest = saved(rest)
+        # a row of the first layers of its project is in the first layers of its hashed part, and so is whatever
+        # dominates it: the rest of a part can wait before the parts meet
+        thin = peeled(rest, [*_GROUP, "_salt"], layers).filter(F.col("_deep") <= layers).drop("_deep")
+        near = saved(peeled(thin, _GROUP, layers).filter(F.col("_deep") <= layers))
+        if near.isEmpty():
+            break
+        order = lambda n: F.struct((-F.col("_deep")).alias("deep"), *[F.col(c) for c in ("usable", "trusted", "n_chars", "scraped_at")], (-F.col(f"_k{n}.k")).alias("k"))
+        one = saved(near.groupBy(*_GROUP).agg(*[F.max_by(f"_k{n}", F.when(F.col(f"_open{n}") & F.col(f"_k{n}").isNotNull(), order(n))).alias(f"_d{n}") for n in lacks]))
+        got = one if got is None else got.unionByName(one)
+        done = one.select(*_GROUP, *[F.col(f"_d{n}").isNotNull().alias(f"_done{n}") for n in lacks])
+        open_ = [(F.col(f"_open{n}") & ~F.col(f"_done{n}")).alias(f"_open{n}") for n in lacks]
+        keep = [c for c in rest.columns if not c.startswith("_open")]
+        rest = rest.join(near.select(*_GROUP, "_first"), [*_GROUP, "_first"], "left_anti").join(done, _GROUP).select(*keep, *open_).filter("_open_text or _open_throttled or _open_cloudflare")
+    if got is not None:
+        got = got.groupBy(*_GROUP).agg(*[F.first(f"_d{n}", ignorenulls=True).alias(f"_d{n}") for n in lacks])
+        own = own.join(got, _GROUP, "left")
+    else:
+        own = own.withColumns({f"_d{n}": F.lit(None).cast("struct<k:bigint>" if n == "_text" else "struct<k:bigint,v:boolean>") for n in lacks})
+    out = own.select(
+        *_GROUP, "story_row_id", "scraped_at", F.coalesce("is_throttled", F.col("_d_throttled.v")).alias("is_throttled"), F.coalesce("cloudflare_detected", F.col("_d_cloudflare.v")).alias("cloudflare_detected"),
+        F.col("_d_text.k").alias("filled_story_content"), F.col("_d_throttled.k").alias("filled_is_throttled"), F.col("_d_cloudflare.k").alias("filled_cloudflare_detected"), F.coalesce("_d_text.k", "story_row_id").alias("_from"),
+    )
+    texts = stories.select(F.col("story_row_id").alias("_from"), "story_content")  # one text a project is fetched
+    return out.join(texts, "_from", "left").select(*_GROUP, "story_row_id", "story_content", "is_throttled", "cloudflare_detected", "scraped_at", *[f"filled_{c}" for c in _FIELDS])

@@ -280,3 +280,15 @@ def test_fill_comes_from_the_nearest_layer(spark):
     r = filled_survivors(df).first()
     assert (r["story_row_id"], r["filled_is_throttled"], r["filled_cloudflare_detected"]) == (1, 2, 4)
     assert r["is_throttled"] is False and r["cloudflare_detected"] is False and r["filled_story_content"] is None
+
+
+def test_layers_are_peeled_until_a_value_is_found(spark):
+    day = lambda d: dt.datetime(2020, 1, d)
+    rows = [(i, "K", "7", "We build it " + "all " * (20 - i), None, True if i in (11, 14) else None, day(28 - i), 1) for i in range(1, 16)]  # 15 layers of one row each
+    rows += [(100 + i, "K", "8", "We build it all.", None, None, day(3), 1) for i in range(9)] + [(200, "K", "8", "We build it.", None, False, day(2), 1)]  # nine equal rows are one layer
+    rows += [(300 + i, "K", "9", None, None, None, None, 1) for i in range(9)]  # no row has anything
+    df = spark.createDataFrame(rows, "story_row_id long, platform string, id string, story_content string, is_throttled boolean, cloudflare_detected boolean, scraped_at timestamp_ntz, n_rows int")
+    got = {r["project_id"]: r for r in filled_survivors(df).collect()}
+    assert (got[7]["story_row_id"], got[7]["filled_cloudflare_detected"], got[7]["filled_is_throttled"]) == (1, 11, None)
+    assert (got[8]["story_row_id"], got[8]["filled_cloudflare_detected"]) == (100, 200)
+    assert (got[9]["story_row_id"], got[9]["filled_story_content"]) == (300, None)
