@@ -3,10 +3,10 @@
 The encoding of a prefix is told by its last token alone: of all tokens that end at a position exactly
 one goes with the last token of what comes before it (two tokens go together if the BPE of their joint
 bytes gives back just these two).  So the encoder reads bytes one by one and keeps a link to the token
-before for each position from which a later token may still start, which are as many as the longest token
-has bytes.  What all of these positions' paths share can't change any more and is emitted.  A merge can
-only depend on bytes that a chain of overlapping merges of rising rank reaches; the static bound of that
-look-ahead follows from the merge list (`sufficient_lookahead`), the emitting itself finds the least one.
+before for each position.  Whether a merge happens can only depend on bytes that a chain of overlapping
+merges of falling rank reaches; how many these are at most follows from the merge list (`lookahead`).  A token
+that ends so many bytes before the last one read can't change any more and is emitted, its links are dropped:
+memory depends on the merge list only.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ class Transducer:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.alone: dict[int, bool] = {}
         self.most_pending = 0
+        self.patience = 1024  # shorter pieces are held whole, and need no look-ahead
+        self._lookahead: int | None = None
 
     def merged(self, data: bytes) -> list[bytes]:
         """Plain BPE of a short run of bytes: the definition that `fits` goes back to."""
@@ -75,15 +77,53 @@ class Transducer:
             hit = self.alone[a] = self.merged(self.tokens[a]) == [self.tokens[a]]
         return hit
 
-    def sufficient_lookahead(self) -> int:
-        """Bytes after which a token can't change: each of the merges may hand a change on by one token at most."""
-        return self.longest * max(1, len(self.ranks) - 256)
+    def parts(self) -> dict[bytes, tuple[bytes, bytes]]:
+        """The merge list: the two tokens that each longer token is made of."""
+        out = {}
+        for tok, r in self.ranks.items():
+            if len(tok) > 1:
+                cuts = [i for i in range(1, len(tok)) if self.ranks.get(tok[:i], r) < r and self.ranks.get(tok[i:], r) < r]
+                if len(cuts) > 1:  # told by plain merging with the ranks below
+                    p = [tok[i : i + 1] for i in range(len(tok))]
+                    while len(p) > 2:
+                        k = min(range(len(p) - 1), key=lambda i: self.ranks.get(p[i] + p[i + 1], r))
+                        if self.ranks.get(p[k] + p[k + 1], r) >= r:
+                            break
+                        p[k : k + 2] = [p[k] + p[k + 1]]
+                    cuts = [len(p[0])] if len(p) == 2 else []
+                if cuts:
+                    out[tok] = (tok[: cuts[0]], tok[cuts[0] :])
+        return out
+
+    def lookahead(self) -> int:
+        """Bytes behind a token after which it can't change, from the merge list.
+
+        A merge (u, v) fails if a token at the right edge of v is taken by a merge (p, q) of lower rank, which may
+        itself fail for bytes behind q, and so on with ever lower ranks.  By rising rank, `reach` of a token is the
+        furthest that the merges seen so far with it on the left can look.
+        """
+        if self._lookahead is None:
+            made, reach = self.parts(), {}
+
+            def edge(tok: bytes) -> int:
+                far = reach.get(tok, 0)
+                while tok in made:
+                    tok = made[tok][1]
+                    far = max(far, reach.get(tok, 0))
+                return far
+
+            for tok in sorted(made, key=self.ranks.__getitem__):
+                u, v = made[tok]
+                reach[u] = max(reach.get(u, 0), len(v) + edge(v))
+            self._lookahead = max((edge(t) for t in self.ranks), default=0)
+        return self._lookahead
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Ids of one piece's bytes, each as soon as it can't change."""
         window = bytearray()  # the last `longest` bytes
         link: dict[int, tuple[int, int]] = {}  # position -> (token that ends there, where it starts)
         done = n = 0  # emitted up to position `done`; bytes read
+        last = -1
         for byte in data:
             window.append(byte)
             if len(window) > self.longest:
@@ -97,17 +137,24 @@ class Transducer:
                 tok, at = self.ranks.get(piece), n - size
                 if tok is not None and at >= done:
                     before = link.get(at)
-                    if (before is None and at == done and (done == 0 and self.starts(tok) or done and self.fits(self._last, tok))) or (before is not None and self.fits(before[0], tok)):
+                    if (before is None and at == done and (done == 0 and self.starts(tok) or done and self.fits(last, tok))) or (before is not None and self.fits(before[0], tok)):
                         found = (tok, at)
                         break
                 size += 1
             if found is None:
                 raise ValueError("a byte isn't in the vocabulary")
             link[n] = found
-            if n - done > 2 * self.longest:
-                for tok, end in self._settled(link, done, n):
-                    self._last, done = tok, end
+            if n - done > self.patience and n - done > 2 * self.lookahead():
+                path, p = [], n
+                while p > done:
+                    path.append((*link[p], p))
+                    p = link[p][1]
+                for tok, _, end in reversed(path):
+                    if end > n - self.lookahead():
+                        break
+                    last, done = tok, end
                     yield tok
+                link = {q: x for q, x in link.items() if q > done}
             self.most_pending = max(self.most_pending, n - done)
         rest = []
         while n > done:
@@ -115,27 +162,6 @@ class Transducer:
             rest.append(tok)
         yield from reversed(rest)
 
-    _last = -1
-
-    def _settled(self, link: dict[int, tuple[int, int]], done: int, n: int) -> list[tuple[int, int]]:
-        """The tokens that all live positions share, with their ends; links that no path needs are dropped."""
-        live = {p for p in range(max(done, n - self.longest + 1), n + 1) if p in link or p == done}
-        needed: set[int] = set()
-        while len(live) > 1:  # walk the furthest position back until all have met
-            p = max(live)
-            live.discard(p)
-            needed.add(p)
-            live.add(link[p][1])
-        meet = live.pop()
-        path, p = [], meet
-        while p > done:
-            tok, at = link[p]
-            path.append((tok, p))
-            p = at
-        for q in [q for q in link if q <= meet or q < n - self.longest + 1 and q not in needed]:
-            del link[q]
-        return path[::-1]
-
     def encode(self, text: str | None, out: array) -> None:
         """Append the ids of a text; null and empty texts have none."""
         if not text:
