@@ -2,20 +2,21 @@
 
 Variable-capacity best fit on the histogram of lengths: lengths are whole numbers up to the capacity, so the
 plan depends on at most that many counts, whatever the corpus.  Longest lengths first, each goes to the open
-container with least room; where none has room a container of the length that costs least is opened, and in
-the end each is downsized to the least permitted length that holds its contents.  Equal containers are one
+container with least room; where none has room a container of the length that costs least is opened (its room
+and an overhead a container, by the tokens that it can take), and in the end each is downsized to the least
+permitted length that holds its contents.  Equal containers are one
 group in the plan with a count; items find theirs by their rank among the items of their length.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import parts_of, saved
 
 
 @dataclass
@@ -27,10 +28,12 @@ class Segment:
     rank_to: int
     each: int
     container: int
+    size: int = 0
 
 
-def plan(histogram: dict[int, int], capacities: list[int]) -> tuple[list[Segment], list[tuple[int, int, int, int]]]:
-    """Segments of items, and runs of containers (first, last + 1, size, used)."""
+def plan(histogram: dict[int, int], capacities: list[int], overhead: int = 0) -> tuple[list[Segment], list[tuple[int, int, int, int]]]:
+    """Segments of items, and runs of containers (first, last + 1, size, used).  `overhead` is what a container
+    costs besides its room: with 0 room alone counts, with the largest capacity the number of containers first."""
     caps = sorted(capacities)
     groups: dict[int, list[tuple[int, int, int, int]]] = {}  # room -> [(first, count, size)]
     rooms: list[int] = []
@@ -58,7 +61,7 @@ def plan(histogram: dict[int, int], capacities: list[int]) -> tuple[list[Segment
             else:
                 # the length that costs least a token if filled with items like this one, or with all that is
                 # left if that is less; the larger of two
-                size = min((c for c in caps if c >= length), key=lambda c: (c / max(length, min(c - c % length, tokens)), -c))
+                size = min((c for c in caps if c >= length), key=lambda c: ((c + overhead) / max(length, min(c - c % length, tokens)), -c))
                 room, first = size, number
                 count = -(-left // (size // length))
                 number += count
@@ -78,10 +81,29 @@ def plan(histogram: dict[int, int], capacities: list[int]) -> tuple[list[Segment
         for first, count, size in gs:
             used = size - room
             runs.append((first, first + count, min(c for c in caps if c >= used), used))
-    return segments, sorted(runs)
-
-
-def pack(items: DataFrame, capacities: list[int], key: str = "doc_id", tokens: str = "n_tokens", salts: int = 64) -> DataFrame:
+    runs.sort()
+    return sized(segments, runs), runs
+
+
+def sized(segments: list[Segment], runs: list[tuple[int, int, int, int]]) -> list[Segment]:
+    """Segments cut where the final size of their containers changes."""
+    same: list[list[int]] = []
+    for a, b, size, _ in runs:
+        if same and same[-1][2] == size and same[-1][1] == a:
+            same[-1][1] = b
+        else:
+            same.append([a, b, size])
+    starts, out = [a for a, _, _ in same], []
+    for s in segments:
+        end = s.container - (s.rank_from - s.rank_to) // s.each
+        for a, b, size in same[bisect_right(starts, s.container) - 1 : bisect_left(starts, end)]:
+            lo, hi = max(a, s.container), min(b, end)
+            first = s.rank_from + (lo - s.container) * s.each
+            out.append(Segment(s.length, first, min(s.rank_to, s.rank_from + (hi - s.container) * s.each), s.each, lo, size))
+    return out
+
+
+def pack(items: DataFrame, capacities: list[int], key: str = "doc_id", tokens: str = "n_tokens", overhead: int = 0) -> DataFrame:
     """key, piece, first_token, n_tokens, container_id, container_size for each piece of each item.
 
     A length over the largest capacity is split into full containers and a rest.  Items without tokens (and
@@ -95,37 +117,24 @@ def pack(items: DataFrame, capacities: list[int], key: str = "doc_id", tokens: s
     pieces = F.sequence(F.lit(0), F.greatest(F.call_function("div", F.col("_n") - 1, F.lit(top)), F.lit(0)))
     x = items.select(F.col(key), n.alias("_n")).select(key, "_n", F.explode(pieces).alias("piece"))
     x = x.withColumn("first_token", F.col("piece") * top).withColumn("n_tokens", F.least(F.col("_n") - F.col("first_token"), F.lit(top)).cast("int")).drop("_n")
-    # a length may hold a third of all items: its ranks are counted in parts
-    x = x.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     x = saved(x)
+    # a length may hold a third of all items: its ranks are counted in parts
+    x = x.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(parts_of(x))).cast("int"))
     parts = x.groupBy("n_tokens", "_salt").agg(F.count("*").alias("_c"))
     before = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = saved(parts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))))
     histogram = {r["n_tokens"]: r["n"] for r in parts.groupBy("n_tokens").agg(F.sum("_c").alias("n")).collect()}  # at most top + 1 rows
-    segments, runs = plan(histogram, capacities)
+    segments, runs = plan(histogram, capacities, overhead)
+    # a length adds at most as many segments as groups of containers it meets: the capacity bounds the table, not the corpus
     seg = spark.createDataFrame(
-        [(s.length, s.rank_from, s.rank_to, s.each, s.container) for s in segments], "sl int, s_from long, s_to long, s_each long, s_first long"
+        [(s.length, s.rank_from, s.rank_to, s.each, s.container, s.size) for s in segments], "sl int, s_from long, s_to long, s_each long, s_first long, container_size int"
     )
-    run = spark.createDataFrame(runs, "r_from long, r_to long, container_size int, used int")
-    # both tables depend on the capacity only: a length adds at most as many segments as groups it meets
+    zero = next((size for a, _, size, _ in runs if a == 0), min(capacities))
     rank = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece")) - 1
     y = x.withColumn("_r", rank).join(parts.drop("_c"), ["n_tokens", "_salt"]).withColumn("_rank", F.col("_r") + F.col("_before"))
     y = y.join(F.broadcast(seg), (F.col("n_tokens") == F.col("sl")) & (F.col("_rank") >= F.col("s_from")) & (F.col("_rank") < F.col("s_to")), "left")
-    y = y.withColumn("container_id", F.when(F.col("n_tokens") <= 0, F.lit(0)).otherwise(F.col("s_first") + F.call_function("div", F.col("_rank") - F.col("s_from"), F.col("s_each"))))
-    least = min(capacities)
-    sizes = F.broadcast(_by_block(run))
-    y = y.withColumn("_block", F.call_function("div", F.col("container_id"), F.lit(_BLOCK)))
-    y = y.join(sizes, (F.col("_block") == F.col("r_block")) & (F.col("container_id") >= F.col("r_from")) & (F.col("container_id") < F.col("r_to")), "left")
-    return y.select(key, "piece", "first_token", "n_tokens", F.col("container_id").cast("bigint").alias("container_id"), F.coalesce("container_size", F.lit(least)).alias("container_size"))
-
-
-_BLOCK = 65536
-
-
-def _by_block(run: DataFrame) -> DataFrame:
-    """Runs exploded by blocks of container numbers, so that finding a container's run is an equi-join."""
-    a, b = F.call_function("div", F.col("r_from"), F.lit(_BLOCK)), F.call_function("div", F.col("r_to") - 1, F.lit(_BLOCK))
-    return run.select("r_from", "r_to", "container_size", F.explode(F.sequence(a, b)).alias("r_block"))
+    container = F.when(F.col("n_tokens") <= 0, F.lit(0)).otherwise(F.col("s_first") + F.call_function("div", F.col("_rank") - F.col("s_from"), F.col("s_each")))
+    return y.select(key, "piece", "first_token", "n_tokens", container.cast("bigint").alias("container_id"), F.coalesce("container_size", F.lit(zero)).alias("container_size"))
 
 
 def container_report(packed: DataFrame, by: list[str] | None = None) -> DataFrame:

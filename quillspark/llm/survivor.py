@@ -83,14 +83,14 @@ def candidates(features: DataFrame, salts: int) -> DataFrame:
     return x.withColumn("_out", dominated(_GROUP, _FLAGS, "n_chars", "scraped_at", "story_row_id"))
 
 
-def survivors(stories: DataFrame) -> DataFrame:
+def survivors(stories: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """platform, project_id, story_row_id, n_rows, n_candidates: the survivor of each project with two or more rows.
 
     Rows with a null or unreadable id, or a null platform, belong to no known project.  If no row of a
     project is usable, the same policy decides among all.  Repeated rows (equal in every dimension) tie
-    and the smallest story_row_id wins.
+    and the smallest story_row_id wins.  `features` may be given with another idea of what is usable.
     """
-    c = candidates(story_features(stories), parts_of(stories))
+    c = candidates(story_features(stories) if features is None else features, parts_of(stories))
     g = c.groupBy(*_GROUP).agg(
         F.sum("_n").alias("n_rows"), F.count_if(~F.col("_out")).alias("n_candidates"), F.max(F.when(~F.col("_out"), _best())).alias("_best")
     )

@@ -203,13 +203,14 @@ def test_plan_is_a_packing():
     for _ in range(200):
         caps = rng.choice([[10], [7, 20], [5, 10, 40]])
         h = {rng.randint(1, max(caps)): rng.randint(1, 60) for _ in range(rng.randint(1, 12))}
-        segments, runs = packing.plan(h, caps)
+        segments, runs = packing.plan(h, caps, rng.choice([0, max(caps)]))
         used, seen = collections.Counter(), collections.Counter()
         for s in segments:
             for r in range(s.rank_from, s.rank_to):
                 used[s.container + (r - s.rank_from) // s.each] += s.length
                 seen[s.length] += 1
         size = {c: (z, u) for a, b, z, u in runs for c in range(a, b)}
+        assert all(s.size == size[s.container + (r - s.rank_from) // s.each][0] for s in segments for r in range(s.rank_from, s.rank_to))
         assert seen == collections.Counter(h) and set(size) == set(used)
         assert all(used[c] == size[c][1] <= size[c][0] and size[c][0] in caps for c in used)
         # best fit by falling length needs at most 11/9 of the least number of containers, and one
