@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import project_number
+from ..session import saved
 from .units import missing_value
 
 
-def nearest_donors(df: DataFrame, group: list[str], ts: str, key: str, present: dict[str, Column], bucket_days: int = 1) -> DataFrame:
+def nearest_donors(
+    df: DataFrame, group: list[str], ts: str, key: str, present: dict[str, Column], bucket_days: int = 1, value: dict[str, Column] | None = None
+) -> DataFrame:
     """For each field the key of the row of the same group that has it and is nearest in time.
 
-    Adds from_<field>: null where the group has none (or any group column or time is null); of equally
+    Adds from_<field> (and value_<field>, that row's value, for the fields in `value`): null where the group has none (or any group column or time is null); of equally
     near rows the smallest key counts.  A group may hold a third of all rows: it is cut into buckets of
     time; a bucket's rows see each other, and the nearest donors outside it come from a summary of one
     row a bucket, so no task gets a whole group.
@@ -30,11 +33,14 @@ def nearest_donors(df: DataFrame, group: list[str], ts: str, key: str, present:
     bucket_us = bucket_days * 86400 * 1_000_000
     known = reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group], F.col(ts).isNotNull())
     x = df.withColumn("_t", t).withColumn("_b", F.call_function("div", F.col("_t"), F.lit(bucket_us)))
-    rest = x.filter(~known).withColumns({f"from_{f}": F.lit(None).cast("bigint") for f in present}).drop("_t", "_b")
+    value = value or {}
+    kinds = dict(df.select(*[v.alias(f) for f, v in value.items()]).dtypes) if value else {}
+    rest = x.filter(~known).withColumns({f"from_{f}": F.lit(None).cast("bigint") for f in present} | {f"value_{f}": F.lit(None).cast(kinds[f]) for f in value}).drop("_t", "_b")
     x = x.filter(known)
     own = [*group, "_b"]
-    late = {f: F.when(c, F.struct(F.col("_t").alias("t"), (-F.col(key)).alias("k"))) for f, c in present.items()}
-    early = {f: F.when(c, F.struct(F.col("_t").alias("t"), F.col(key).alias("k"))) for f, c in present.items()}
+    own_value = lambda f: [value[f].alias("v")] if f in value else []
+    late = {f: F.when(c, F.struct(F.col("_t").alias("t"), (-F.col(key)).alias("k"), *own_value(f))) for f, c in present.items()}
+    early = {f: F.when(c, F.struct(F.col("_t").alias("t"), F.col(key).alias("k"), *own_value(f))) for f, c in present.items()}
     # within the bucket: the latest donor up to now, the earliest from now on (peers included)
     w_up = Window.partitionBy(*own).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     w_down = Window.partitionBy(*own).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -56,10 +62,10 @@ def nearest_donors(df: DataFrame, group: list[str], ts: str, key: str, present:
         after = F.least(f"_down_{f}", f"_after_{f}")
         gap_b, gap_a = F.col("_t") - before["t"], after["t"] - F.col("_t")
         kb, ka = -before["k"], after["k"]
-        pick = (
-            F.when(before.isNull(), ka).when(after.isNull(), kb).when(gap_b < gap_a, kb).when(gap_a < gap_b, ka).otherwise(F.least(kb, ka))
-        )
-        j = j.withColumn(f"from_{f}", pick)
+        earlier = before.isNotNull() & (after.isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & (kb <= ka)))
+        j = j.withColumn(f"from_{f}", F.when(earlier, kb).otherwise(ka))
+        if f in value:
+            j = j.withColumn(f"value_{f}", F.when(earlier, before["v"]).otherwise(after["v"]))
     return j.select(*rest.columns).unionByName(rest)
 
 
@@ -128,6 +134,51 @@ class KPrototypes:
         return out
 
 
+NUMBERS = ("goal", "pledged", "funds_raised_percent")
+NO_TEXT = ["", "n/a", "na", "none", "null", "nan", "-", "unknown"]  # fixed values: texts that stand for no value
+
+
+def _narrow(df: DataFrame, key: str, ts: str, platform: str, ident: str, parent: str, categories: tuple[str, ...]) -> DataFrame:
+    """What the filling needs of each row, missing values as null."""
+    value = {f: F.when(~missing_value(F.col(f), f != "goal"), F.col(f).cast("double")) for f in NUMBERS}
+    text = {c: F.when(~F.lower(F.trim(F.col(c))).isin(NO_TEXT), F.col(c).cast("string")) for c in dict.fromkeys(["currency", parent, *categories])}
+    return df.select(
+        F.col(key), F.col(ts).alias("_ts"), F.col(platform).alias("_platform"), project_number(F.col(ident)).alias("_pid"), F.coalesce(F.col(platform) == "Kickstarter", F.lit(False)).alias("_ks"),
+        F.log1p(F.when(F.col("backers_count") >= 0, F.col("backers_count").cast("double"))).alias("_n_backers"),
+        *[v.alias(f"_x_{f}") for f, v in value.items()], *[v.alias(f"_s_{c}") for c, v in text.items()],
+    )
+
+
+def _gaps(x: DataFrame, key: str, parent: str, categories: tuple[str, ...], k: int, passes: int, support: int) -> DataFrame:
+    """A row for each missing value: _own (the donor's), _cluster, _group, _all, each a struct of number x and text s;
+    _from, the donor; `_true`, what was there before, if x says so in `_true_<field>`."""
+    logs = {f"_n_{f}": F.log1p(F.col(f"_x_{f}")) for f in NUMBERS}
+    model = KPrototypes([*logs, "_n_backers"], ["_platform", f"_s_{parent}", "_s_currency"], k=k, passes=passes).fit(x.withColumns(logs).drop("_ts", "_pid"), key)
+    x = x.withColumns(logs).withColumn("_c", model.assign() if model.prototypes else F.lit(0)).drop(*logs)
+    fields = {**{f: f"_x_{f}" for f in NUMBERS}, **{c: f"_s_{c}" for c in categories}}
+    x = nearest_donors(x, ["_platform", "_pid"], "_ts", key, {f: F.col(c).isNotNull() for f, c in fields.items()}, value={f: F.col(c) for f, c in fields.items()})
+    wanted = {f: F.col(c).isNull() & (~F.col("_ks") if f == "funds_raised_percent" else F.lit(True)) for f, c in fields.items()}
+    none = lambda t: F.lit(None).cast(t)
+    both = lambda f, c: F.struct(c.cast("double").alias("x") if f in NUMBERS else none("double").alias("x"), none("string").alias("s") if f in NUMBERS else c.cast("string").alias("s"))
+    true = lambda f: F.col(f"_true_{f}") if f"_true_{f}" in x.columns else none("double")
+    gap = [F.when(w, F.struct(F.lit(f).alias("field_name"), F.col(f"from_{f}").alias("_from"), both(f, F.col(f"value_{f}")).alias("_own"), true(f).alias("_true"))) for f, w in wanted.items()]
+    gaps = x.select(key, "_c", "_platform", F.col(f"_s_{parent}").alias("_p"), F.explode(F.array_compact(F.array(*gap))).alias("v")).select(key, "_c", "_platform", "_p", "v.*")
+
+    def middle(by: list[str]) -> DataFrame:
+        """The medians and modes of groups in which at least `support` rows have a value, as rows by field."""
+        one = lambda f, c: F.when(F.count(c) >= (support if by else 1), F.percentile_approx(c, 0.5, 1000) if f in NUMBERS else F.mode(c))
+        g = x.withColumnRenamed(f"_s_{parent}", "_p") if "_p" in by else x
+        cols = {f: ("_p" if c == f"_s_{parent}" and "_p" in by else c) for f, c in fields.items()}
+        g = g.groupBy(*by).agg(*[one(f, c).alias(f"_m_{f}") for f, c in cols.items()])
+        tall = F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), both(f, F.col(f"_m_{f}")).alias("_m")) for f in fields])).alias("v")
+        return g.select(*[F.col(b).alias(f"_by{b}") for b in by], tall).select(*[f"_by{b}" for b in by], "v.*")
+
+    same = F.col("field_name") == F.col("_f")
+    g = gaps.join(F.broadcast(middle(["_c"])), (F.col("_c") == F.col("_by_c")) & same, "left").withColumnRenamed("_m", "_cluster").drop("_f")  # k rows a field
+    g = g.join(middle(["_platform", "_p"]), F.col("_platform").eqNullSafe(F.col("_by_platform")) & F.col("_p").eqNullSafe(F.col("_by_p")) & same, "left").withColumnRenamed("_m", "_group").drop("_f")
+    return g.join(F.broadcast(middle([])), same, "left").withColumnRenamed("_m", "_all").drop("_f")  # one row a field
+
+
 def fill_from_similar(
     df: DataFrame,
     key: str = "row_id",
@@ -137,51 +188,40 @@ def fill_from_similar(
     parent: str = "category_parent_name",
     k: int = 12,
     passes: int = 4,
+    categories: tuple[str, ...] = (),
+    support: int = 5,
 ) -> DataFrame:
-    """key, field_name, filled_value, method, from_row_id for each missing goal, pledged and
-    funds_raised_percent (the last of Indiegogo rows only).
-
-    method: `same_project` (from_row_id is the donor), `cluster`, `parent` or `all`, where no row of the
-    project has the value or the id is null (from_row_id -1).  Equal rows give equal fills; an empty
-    table gives no row; a field that no row has stays null with method `none`.
+    """key, field_name, filled_value, filled_text, method, from_row_id for each missing goal, pledged and
+    funds_raised_percent (the last of Indiegogo rows only), and each missing text of `categories`.
+
+    method: `same_project` (from_row_id is the donor), else (no row of the project has the value, or the id is null;
+    from_row_id -1) `cluster`, the median or mode of the row's k-prototypes cluster, `parent`, of its parent group, or
+    `all`; a cluster or group in which fewer than `support` rows have the value gives none.  Equal rows give equal
+    fills; an empty table gives no row; a field that no row has stays null with method `none`.  The rows are read
+    once; what follows works on a saved table of numbers.
     """
-    ks = F.coalesce(F.col(platform) == "Kickstarter", F.lit(False))
-    value = {f: F.when(~missing_value(F.col(f), f != "goal"), F.col(f).cast("double")) for f in ("goal", "pledged", "funds_raised_percent")}
-    x = df.select(
-        F.col(key), F.col(ts), F.col(platform).alias("_platform"), project_number(F.col(ident)).alias("_pid"), F.col(parent).alias("_parent"),
-        F.col("currency").alias("_currency"), F.log1p(F.when(F.col("backers_count") >= 0, F.col("backers_count").cast("double"))).alias("_n_backers"),
-        ks.alias("_ks"), *[v.alias(f) for f, v in value.items()],
-    )
-    logs = {f"_n_{f}": F.log1p(F.col(f)) for f in value}
-    x = x.withColumns(logs)
-    fields = list(value)
-    model = KPrototypes([*logs, "_n_backers"], ["_platform", "_parent", "_currency"], k=k, passes=passes).fit(x.drop(ts, "_pid"), key)
-    donors = nearest_donors(x, ["_platform", "_pid"], ts, key, {f: F.col(f).isNotNull() for f in fields})
-    donors = donors.withColumn("_c", model.assign() if model.prototypes else F.lit(0))
-    wanted = {f: F.col(f).isNull() & (~F.col("_ks") if f == "funds_raised_percent" else F.lit(True)) for f in fields}
-    gaps = donors.select(
-        key, "_c", "_platform", "_parent",
-        F.explode(F.filter(F.array(*[
-            F.when(wanted[f], F.struct(F.lit(f).alias("field_name"), F.col(f"from_{f}").alias("_from"))) for f in fields
-        ]), lambda s: s.isNotNull())).alias("v"),
-    ).select(key, "_c", "_platform", "_parent", "v.*")
-    # the donor's value: donors are only as many as there are gaps
-    melted = x.select(F.col(key).alias("_from"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("_own")) for f in fields])).alias("v")).select("_from", "v.*").filter("_own is not null")
-    med = [F.percentile_approx(f, 0.5, 1000).alias(f) for f in fields]
-    tall = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("m")) for f in fields])).alias("v")
-    numbered = x.withColumn("_c", model.assign() if model.prototypes else F.lit(0))
-    by_cluster = numbered.groupBy("_c").agg(*med).select("_c", tall).select(F.col("_c").alias("_cc"), F.col("v.field_name").alias("_cf"), F.col("v.m").alias("_cm"))
-    by_parent = x.groupBy("_platform", "_parent").agg(*med).select("_platform", "_parent", tall).select(F.col("_platform").alias("_pp"), F.col("_parent").alias("_pc"), F.col("v.field_name").alias("_pf"), F.col("v.m").alias("_pm"))
-    by_all = x.agg(*med).select(tall).select(F.col("v.field_name").alias("_af"), F.col("v.m").alias("_am"))
-    g = gaps.join(melted, ["_from", "field_name"], "left")
-    g = g.join(F.broadcast(by_cluster), (F.col("_c") == F.col("_cc")) & (F.col("field_name") == F.col("_cf")), "left")  # k x 3 rows
-    g = g.join(by_parent, F.col("_platform").eqNullSafe(F.col("_pp")) & F.col("_parent").eqNullSafe(F.col("_pc")) & (F.col("field_name") == F.col("_pf")), "left")
-    g = g.join(F.broadcast(by_all), F.col("field_name") == F.col("_af"), "left")  # 3 rows
+    g = _gaps(saved(_narrow(df, key, ts, platform, ident, parent, categories)), key, parent, categories, k, passes, support)
+    has = lambda c: F.coalesce(F.col(f"{c}.x").isNotNull() | F.col(f"{c}.s").isNotNull(), F.lit(False))
     method = (
-        F.when(F.col("_from").isNotNull(), "same_project").when(F.col("_cm").isNotNull(), "cluster").when(F.col("_pm").isNotNull(), "parent")
-        .when(F.col("_am").isNotNull(), "all").otherwise("none")
+        F.when(F.col("_from").isNotNull(), "same_project").when(has("_cluster"), "cluster").when(has("_group"), "parent")
+        .when(has("_all"), "all").otherwise("none")
     )
+    first = lambda c: F.coalesce(*[F.col(f"{n}.{c}") for n in ("_own", "_cluster", "_group", "_all")])
     return g.select(
-        key, "field_name", F.coalesce("_own", "_cm", "_pm", "_am").alias("filled_value"), method.alias("method"),
-        F.coalesce("_from", F.lit(-1)).cast("bigint").alias("from_row_id"),
+        key, "field_name", first("x").alias("filled_value"), first("s").alias("filled_text"), method.alias("method"), F.coalesce("_from", F.lit(-1)).cast("bigint").alias("from_row_id"),
     )
+
+
+def fill_errors(
+    df: DataFrame, key: str = "row_id", ts: str = "crawled_at", platform: str = "platform", ident: str = "id", parent: str = "category_parent_name",
+    k: int = 12, passes: int = 4, support: int = 5, hidden: float = 0.1,
+) -> DataFrame:
+    """field_name, method, n, median_error: a share `hidden` of the values that are there (by a hash of the row and
+    field) is hidden and filled by each method that can; the error is the absolute difference of log10(1 + value)."""
+    x = _narrow(df, key, ts, platform, ident, parent, ())
+    hide = {f: F.pmod(F.xxhash64(F.col(key), F.lit(f)), F.lit(1000)) < int(hidden * 1000) for f in NUMBERS}
+    x = x.withColumns({f"_true_{f}": F.when(hide[f], F.col(f"_x_{f}")) for f in NUMBERS}).withColumns({f"_x_{f}": F.when(~hide[f], F.col(f"_x_{f}")) for f in NUMBERS})
+    g = _gaps(saved(x), key, parent, (), k, passes, support).filter("_true is not null")
+    tall = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"{c}.x").alias("x")) for m, c in (("same_project", "_own"), ("cluster", "_cluster"), ("parent", "_group"), ("all", "_all"))])).alias("v")
+    e = g.select("field_name", "_true", tall).select("field_name", F.col("v.method").alias("method"), F.abs(F.log10(1 + F.col("v.x")) - F.log10(1 + F.col("_true"))).alias("_e")).filter("_e is not null")
+    return e.groupBy("field_name", "method").agg(F.count("*").alias("n"), F.percentile_approx("_e", 0.5, 1000).alias("median_error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.impute import fill_from_similar
+from .operators.impute import fill_errors, fill_from_similar
 from .operators.timestamps import instants_to_mend, normalise_timestamps
 from .operators.units import amounts_in_common_unit
 from .queries_tables import pid
@@ -22,13 +22,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Every present amount in US dollars, with the unit it was recorded in."""
-    return _amounts(spark, d)
+    """Every present amount in US dollars, with the unit it was recorded in and what told it (`other` for the currency
+    field or the text)."""
+    told = F.when(F.col("told_by").isin("currency", "text"), "other").otherwise(F.col("told_by"))
+    return _amounts(spark, d).select("row_id", "field_name", F.round("value", 6).alias("value"), "unit_id", told.alias("told_by"), F.round("usd", 4).alias("usd"))
 
 
-def _filled(spark: SparkSession, d: str) -> DataFrame:
+def _filled(spark: SparkSession, d: str, categories: tuple[str, ...] = ()) -> DataFrame:
     ship_package(spark)
-    return fill_from_similar(table(spark, d, "combined_all_columns"))
+    return fill_from_similar(table(spark, d, "combined_all_columns"), categories=categories)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +38,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Every missing value with its fill and the method that gave it."""
-    return _filled(spark, d)
+    """Every missing number, currency and parent category with its fill and the method that gave it."""
+    return _filled(spark, d, ("currency", "category_parent_name"))
+
+
+def p4_donors(spark: SparkSession, d: str) -> DataFrame:
+    """The fills that come from the same project, with the donor's value."""
+    x = _filled(spark, d).filter("method = 'same_project'")
+    return x.select("row_id", "field_name", "from_row_id", F.round("filled_value", 6).alias("filled_value"), "method")
+
+
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out error of each method of filling."""
+    ship_package(spark)
+    return fill_errors(table(spark, d, "combined_all_columns"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +59,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Every value of the three dates with its instant and how it was told."""
+    """Every value of the three dates with its instant."""
+    return _instants(spark, d).select("row_id", "field_name", "is_plain", "epoch_s")
+
+
+def p5_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """How the instants of the three dates were told, and how often."""
+    return _instants(spark, d).groupBy("field_name", "status").agg(F.count("*").alias("n"))
+
+
+def _instants(spark: SparkSession, d: str) -> DataFrame:
     return normalise_timestamps(
         table(spark, d, "combined_all_columns"), ["created_at", "launched_at", "deadline"], table(spark, d, "crawl_sources")
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p4_filled, p5_found, p5_normalised)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p4_filled, p4_donors, p4_errors, p5_found, p5_normalised, p5_statuses)}
 
 _FIELDS = ("goal", "pledged", "funds_raised_percent")
 
@@ -87,6 +110,9 @@ SELECT row_id, field_name, unit_id FROM l JOIN money_units ON code = currency_co
     "p4_found": f"""WITH c AS (SELECT row_id, platform, {pid('id')} AS pid, crawled_at, {', '.join(_FIELDS)} FROM combined_all_columns), l AS ({_LONG})
 SELECT m.row_id, m.field_name, coalesce(arg_min(h.row_id, struct_pack(d := abs(epoch_us(h.crawled_at) - epoch_us(m.crawled_at)), r := h.row_id)), -1) AS from_row_id
 FROM (SELECT * FROM l WHERE gone) m LEFT JOIN (SELECT * FROM l WHERE NOT gone AND pid IS NOT NULL) h ON m.platform = h.platform AND m.pid = h.pid AND m.field_name = h.field_name GROUP BY m.row_id, m.field_name""",
+    "p4_donors": f"""WITH c AS (SELECT row_id, platform, {pid('id')} AS pid, crawled_at, {', '.join(_FIELDS)} FROM combined_all_columns), l AS ({_LONG}), v AS (UNPIVOT (SELECT row_id, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in _FIELDS)} FROM c) ON {', '.join(_FIELDS)} INTO NAME field_name VALUE x),
+ d AS (SELECT m.row_id, m.field_name, arg_min(h.row_id, struct_pack(d := abs(epoch_us(h.crawled_at) - epoch_us(m.crawled_at)), r := h.row_id)) AS from_row_id FROM (SELECT * FROM l WHERE gone) m JOIN (SELECT * FROM l WHERE NOT gone AND pid IS NOT NULL) h ON m.platform = h.platform AND m.pid = h.pid AND m.field_name = h.field_name GROUP BY m.row_id, m.field_name)
+SELECT d.row_id, d.field_name, from_row_id, round(x, 6) AS filled_value, 'same_project' AS method FROM d JOIN v ON v.row_id = from_row_id AND v.field_name = d.field_name""",
     "p5_found": f"""WITH v AS (SELECT row_id, source_url, 'created_at' AS field_name, created_at AS raw FROM combined_all_columns UNION ALL SELECT row_id, source_url, 'deadline', deadline FROM combined_all_columns
  UNION ALL SELECT row_id, source_url, 'launched_at', CAST(launched_at AS VARCHAR) FROM combined_all_columns),
  t AS (SELECT row_id, field_name, raw, trim(raw) AS t, time_zone, day_first FROM v LEFT JOIN crawl_sources USING (source_url)
@@ -100,3 +126,12 @@ FROM (SELECT * FROM l WHERE gone) m LEFT JOIN (SELECT * FROM l WHERE NOT gone AN
   WHEN regexp_matches(t, '^[0-9]{{19}}$') THEN CAST(t AS BIGINT) // 1000000000 WHEN z <> '' THEN CAST(epoch(l) AS BIGINT) - off WHEN timezone(time_zone, to_timestamp(u - 3600)) = l THEN CAST(u AS BIGINT) - 3600 ELSE CAST(u AS BIGINT) END AS epoch_s FROM o)
 SELECT row_id, field_name, CAST(epoch_s AS BIGINT) AS epoch_s FROM e WHERE epoch_s IS NOT NULL""",
 }
+# Every present amount: the unit as above, else the plain one of the exact code; every date, plain or mended.
+SQL["p3_amounts"] = SQL["p3_found"].replace("SELECT row_id, field_name, unit_id FROM l JOIN", """, b AS (SELECT row_id, strftime(crawled_at, '%Y-%m') AS month, currency, """ + _EXACT + """ AS exact FROM combined_all_columns),
+ a AS (SELECT l.row_id, l.field_name, l.v AS value, CASE WHEN l.exact THEN b.currency ELSE l.code END AS code, CASE WHEN l.exact THEN coalesce(l.scale, 'major') ELSE l.scale END AS scale, l.exact, l.scale IS NOT NULL AS told, month FROM l JOIN b USING (row_id) WHERE l.v IS NOT NULL)
+SELECT row_id, field_name, round(value, 6) AS value, unit_id, CASE WHEN unit_id IS NULL THEN 'nothing' WHEN exact AND told THEN 'share' WHEN exact THEN 'plain' ELSE 'other' END AS told_by, round(value * major_per_unit * usd_per_major, 4) AS usd
+FROM a LEFT JOIN money_units u ON a.code = u.currency_code AND a.scale = u.scale_name LEFT JOIN fx_rates r ON u.currency_code = r.currency_code AND month = fx_month --""")
+SQL["p5_normalised"] = "WITH f AS (" + SQL["p5_found"] + """), v AS (SELECT row_id, 'created_at' AS field_name, created_at AS raw FROM combined_all_columns UNION ALL SELECT row_id, 'deadline', deadline FROM combined_all_columns
+ UNION ALL SELECT row_id, 'launched_at', CAST(launched_at AS VARCHAR) FROM combined_all_columns),
+ p AS (SELECT *, coalesce(CASE WHEN field_name = 'launched_at' THEN regexp_matches(raw, '^[1-9][0-9]{8,9}$') ELSE regexp_matches(raw, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$') END, false) AS is_plain FROM v)
+SELECT row_id, field_name, is_plain, CASE WHEN NOT is_plain THEN f.epoch_s WHEN field_name = 'launched_at' THEN CAST(raw AS BIGINT) ELSE CAST(epoch(try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ')) AS BIGINT) END AS epoch_s FROM p LEFT JOIN f USING (row_id, field_name)"""

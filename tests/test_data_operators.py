@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.keys import project_number
-from quillspark.operators.impute import KPrototypes, fill_from_similar, nearest_donors
+from quillspark.operators.impute import KPrototypes, fill_errors, fill_from_similar, nearest_donors
 from quillspark.operators.timestamps import local_segments, normalise_timestamps, zone_intervals
 from quillspark.operators.units import Unit, amounts_in_common_unit, parse_unit
 from quillspark.operators.windows import carry_last, running_count
@@ -154,6 +154,26 @@ def test_fill(spark):
     assert fill_from_similar(df.limit(0)).count() == 0
 
 
+def test_fill_falls_back_to_parent_and_all_and_fills_texts(spark):
+    t = dt.datetime(2020, 1, 1)
+    rows = [(i, "Kickstarter", str(i), 100.0 if i < 8 else None, 10.0, None, 1, "Art" if i % 4 < 3 else "Music", "USD", t) for i in range(9)]
+    rows += [(50 + i, "Kickstarter", str(50 + i), None if i == 0 else 7e6, 9e6, None, 900000, "Film", "JPY", t) for i in range(3)]
+    rows += [(90, "Kickstarter", "1", 100.0, 10.0, None, 1, None, " n/a ", t), (91, "Kickstarter", None, 100.0, 10.0, None, 1, "Art", None, t)]
+    df = spark.createDataFrame(rows, FILL)
+    got = {(r["row_id"], r["field_name"]): r for r in fill_from_similar(df, k=2, support=5, categories=("currency", "category_parent_name")).collect()}
+    assert got[8, "goal"]["method"] == "cluster" and got[8, "goal"]["filled_value"] == 100.0
+    assert got[50, "goal"]["method"] == "all" and got[50, "goal"]["filled_value"] is not None  # two values are too few for a cluster or a group
+    assert (got[90, "currency"]["filled_text"], got[90, "currency"]["from_row_id"]) == ("USD", 1)
+    assert (got[90, "category_parent_name"]["filled_text"], got[90, "category_parent_name"]["method"]) == ("Art", "same_project")
+    assert (got[91, "currency"]["filled_text"], got[91, "currency"]["method"]) == ("USD", "cluster")
+
+
+def test_held_out_error_of_filling(spark, data):
+    e = {(r["field_name"], r["method"]): r["median_error"] for r in fill_errors(spark.read.parquet(f"{data}/sf0.1/combined_all_columns.parquet")).collect()}
+    for f in ("goal", "pledged", "funds_raised_percent"):
+        assert e[f, "same_project"] < e[f, "cluster"] < e[f, "all"]
+
+
 def test_k_prototypes_separate_clear_groups(spark):
     rows = [(i, float(i % 2) * 100 + i % 5, "a" if i % 2 else "b") for i in range(200)]
     df = spark.createDataFrame(rows, "row_id long, x double, c string")
