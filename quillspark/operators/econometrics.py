@@ -1,7 +1,7 @@
 """Least squares by formula from sums over all rows, model ladders, mediation with a bootstrap.
 
-A formula is compiled to columns of a design; one aggregation gives its cross products; the small system is
-solved on the driver.  Columns are centred by their means first, so that large offsets cost no digits.
+A formula is compiled to columns of a design; one aggregation gives the cross products of all of them; the small
+systems are solved on the driver.  Columns are centred by their means first, so that large offsets cost no digits.
 """
 
 from __future__ import annotations
@@ -91,37 +91,6 @@ def _variables(ts: list[tuple[str, ...]]) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(plain)), list(dict.fromkeys(factors))
 
 
-def design(df: DataFrame, formula: str) -> tuple[DataFrame, str, list[tuple[str, Column]]]:
-    """The rows without nulls, the outcome, and named columns; a factor's first level (sorted) is left out, but
-    in an interaction of factors only where its main effects are in the model."""
-    y, ts = terms(formula)
-    plain, factors = _variables(ts)
-    rows = df.na.drop(subset=[y, *plain, *factors])
-    levels = {}
-    for f in factors:
-        got = rows.select(F.col(f).cast("string").alias("v")).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(got) > MAX_LEVELS:
-            raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
-        numeric = all(re.fullmatch(r"-?\d+", r["v"]) for r in got)
-        levels[f] = sorted((r["v"] for r in got), key=(lambda v: (int(v), v)) if numeric else None)
-    cols: list[tuple[str, Column]] = []
-    for t in ts:
-        parts: list[list[tuple[str, Column]]] = []
-        for a in t:
-            m = re.fullmatch(r"C\((\w+)\)", a)
-            if not m:
-                parts.append([(a, F.col(a).cast("double"))])
-                continue
-            f = m.group(1)
-            keep = levels[f][1:] if len(t) == 1 or (a,) in ts else levels[f]
-            parts.append([(f"C({f})[{v}]", (F.col(f).cast("string") == v).cast("double")) for v in keep])
-        combos: list[tuple[str, Column]] = [("", F.lit(1.0))]
-        for p in parts:
-            combos = [(f"{n}:{m}" if n else m, c * d if n else d) for n, c in combos for m, d in p]
-        cols += combos
-    return rows, y, cols
-
-
 def solve(gram: np.ndarray, xy: np.ndarray, yy: float, n: int, means: np.ndarray, ybar: float, names: list[str]) -> Fit:
     """From centred cross products; a rank-deficient design gets the pseudo-inverse's solution."""
     scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
@@ -142,69 +111,158 @@ def solve(gram: np.ndarray, xy: np.ndarray, yy: float, n: int, means: np.ndarray
 
 
 def ols(df: DataFrame, formula: str) -> Fit:
-    """Least squares of a formula; rows with a null or NaN in any variable are dropped.
+    """Least squares of a formula; rows with a null or NaN in any variable are dropped."""
+    return fit_all(df, [("m", formula, None)])["m"]
 
-    Two aggregations over all rows (means, then centred cross products), whatever the number of terms.
-    """
-    rows, y, cols = design(df, formula)
-    x = rows.select(F.col(y).cast("double").alias("y"), *[c.alias(f"x{i}") for i, (_, c) in enumerate(cols)])
-    k, names = len(cols), [n for n, _ in cols]
-    m = x.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(k)]).first()
-    if not m["n"]:
-        raise ValueError("no complete rows")
-    means, ybar = np.array([m[f"x{i}"] for i in range(k)]), m["y"]
-    c = x.select(F.array(*[F.col(f"x{i}") - F.lit(float(means[i])) for i in range(k)], F.col("y") - F.lit(float(ybar))).alias("v"))
-    g = _cross(c, k + 1)
-    return solve(g[:k, :k], g[:k, k], float(g[k, k]), m["n"], means, ybar, names)
 
-
-def _cross(c: DataFrame, k: int) -> np.ndarray:
-    """Sum of v v' over all rows: each partition gives one k x k matrix, added in the driver's solve."""
+def _crosses(c: DataFrame, k: int) -> dict[str, np.ndarray]:
+    """Sum of v v' by g: each partition gives what isn't zero of one k x k matrix a group, added up by Spark."""
 
     def part(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        total = np.zeros((k, k))
+        total: dict[str, np.ndarray] = {}
         for b in batches:
-            v = np.vstack(b["v"].to_numpy()) if len(b) else np.zeros((0, k))
-            total += v.T @ v
-        yield pd.DataFrame({"i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "s": total.ravel()})
-
-    got = c.mapInPandas(part, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # k x k numbers
-    g = np.zeros((k, k))
+            for g, rows in b.groupby("g")["v"]:
+                v = np.vstack(rows.to_numpy())
+                total[g] = total.get(g, 0) + v.T @ v
+        for g, m in total.items():
+            i, j = np.nonzero(m)
+            yield pd.DataFrame({"g": g, "i": i.astype("int32"), "j": j.astype("int32"), "s": m[i, j]})
+
+    got = c.mapInPandas(part, "g string, i int, j int, s double").groupBy("g", "i", "j").agg(F.sum("s").alias("s")).collect()  # groups x k x k numbers
+    out: dict[str, np.ndarray] = {}
     for r in got:
-        g[r["i"], r["j"]] = r["s"]
-    return g
+        out.setdefault(r["g"], np.zeros((k, k)))[r["i"], r["j"]] = r["s"]
+    return out
 
 
+_CONTROLS = "text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT"
 # The nested models of the study.
 LADDER = [
-    "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT",
-    "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count",
-    "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count + C(category_unified)",
-    "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count + C(category_unified) + C(year):C(month)",
-    "{y} ~ text_quality*indiegogo + text_quality*PostGPT + indiegogo*PostGPT + ai_score*PostGPT + log_goal + word_count + C(category_unified) + C(year):C(month)",
+    f"log_pledged_amount ~ {_CONTROLS}",
+    f"log_pledged_amount ~ {_CONTROLS} + log_goal + word_count",
+    f"log_pledged_amount ~ {_CONTROLS} + log_goal + word_count + C(category_unified)",
+    f"log_pledged_amount ~ {_CONTROLS} + log_goal + word_count + C(category_unified) + C(year):C(month)",
+    f"success_indicator ~ {_CONTROLS} + indiegogo:PostGPT:text_quality + ai_score + ai_score:PostGPT + log_goal + C(category_unified) + word_count + C(year):C(month)",
 ]
 
 #: Those of the rows that succeeded: M4 and M5 leave out terms.
 LADDER_SUCCESSFUL = [
     *LADDER[:3],
-    "{y} ~ indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count + C(category_unified) + C(year):C(month)",
-    "{y} ~ text_quality*PostGPT + PostGPT + ai_score*PostGPT + log_goal + C(category_unified) + word_count + C(year):C(month)",
+    "log_pledged_amount ~ indiegogo + text_quality*PostGPT + indiegogo*PostGPT + log_goal + word_count + C(category_unified) + C(year):C(month)",
+    "log_pledged_amount ~ text_quality*PostGPT + PostGPT + ai_score*PostGPT + log_goal + C(category_unified) + word_count + C(year):C(month)",
 ]
+# The terms that the study's table shows.
+SHOWN = ["text_quality", "indiegogo", "PostGPT", "text_quality:indiegogo", "text_quality:PostGPT", "indiegogo:PostGPT", "ai_score", "ai_score:indiegogo", "ai_score:PostGPT"]
 
 
-def ladder(df: DataFrame, outcome: str = "log_pledged_amount", formulas: list[str] = LADDER, name: str = "M") -> DataFrame:
-    """Coefficients of nested models with stars (N2, N3): model (`name` and a number), term, coef, se, t, p, stars."""
+def fit_all(df: DataFrame, models: list[tuple[str, str, str | None]]) -> dict[str, Fit]:
+    """Many formulas from one table: (name, formula, flag), where a flag is a 0/1 column that keeps the rows with 1.
+
+    Three passes over the rows (means, levels, cross products), whatever the number of models; the last gives the cross
+    products of every column of every design.  These are kept apart by flags and by which variables are missing, so that
+    each model adds up the rows that it may use; its levels and its first levels are those of these rows.  A factor's
+    first level (sorted) is left out, but in an interaction of factors only where its main effects are in the model.
+    """
+    split = [terms(f) for _, f, _ in models]
+    plain = list(dict.fromkeys(v for y, ts in split for v in [y, *_variables(ts)[0]]))
+    factors = list(dict.fromkeys(v for _, ts in split for v in _variables(ts)[1]))
+    flags = list(dict.fromkeys(f for _, _, f in models if f))
+    x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in plain], *[F.col(f).cast("string").alias(f"_f_{f}") for f in factors], *[F.coalesce(F.col(f).cast("int"), F.lit(0)).alias(f"_b_{f}") for f in flags])
+    top = x.agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in plain]).first()
+    if not top["_n"]:
+        raise ValueError("no complete rows")
+    levels: dict[str, list[str]] = {f: [] for f in factors}
+    if factors:
+        both = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"_f_{f}").alias("v")) for f in factors])).alias("x")
+        for r in x.select(both).select("x.*").filter("v is not null").distinct().limit(len(factors) * MAX_LEVELS + 1).collect():
+            levels[r["f"]].append(r["v"])
+    for f, got in levels.items():
+        if len(got) > MAX_LEVELS or sum(map(len, levels.values())) > len(factors) * MAX_LEVELS:
+            raise ValueError(f"a factor has more than {MAX_LEVELS} levels")
+        levels[f] = sorted(got, key=(lambda v: (int(v), v)) if all(re.fullmatch(r"-?\d+", v) for v in got) else None)
+    cols: dict[str, Column] = {}
+
+    def named(t: tuple[str, ...]) -> list[tuple[str, ...]]:
+        """Columns of a term, as tuples of atoms: a factor's atom is (its name, a level)."""
+        out: list[tuple] = [()]
+        for a in t:
+            m = re.fullmatch(r"C\((\w+)\)", a)
+            out = [(*o, x) for o in out for x in ([(m.group(1), v) for v in levels[m.group(1)]] if m else [a])]
+        return out
+
+    label = lambda atoms: ":".join(a if isinstance(a, str) else f"C({a[0]})[{a[1]}]" for a in atoms)
+    for y, ts in split:
+        cols.setdefault(y, F.col(y))
+        for t in ts:
+            for atoms in named(t):
+                c = F.lit(1.0)
+                for a in atoms:
+                    c = c * (F.col(a) if isinstance(a, str) else (F.col(f"_f_{a[0]}") == a[1]).cast("double"))
+                cols.setdefault(label(atoms), c)
+    shift = {c: float(top[c] or 0.0) for c in cols if c in plain}  # a shift of each plain variable costs no model anything
+    names = list(cols)
+    at = {c: i + 1 for i, c in enumerate(names)}
+    mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in plain], *[F.col(f"_f_{f}").isNull().cast("int").cast("string") for f in factors], *[F.col(f"_b_{f}").cast("string") for f in flags])
+    rows = x.select(mask.alias("g"), F.array(F.lit(1.0), *[F.coalesce(cols[c] - F.lit(shift.get(c, 0.0)), F.lit(0.0)) for c in names]).alias("v"))
+    crosses = _crosses(rows, len(names) + 1)
+    place = {v: i for i, v in enumerate([*plain, *[f"_f_{f}" for f in factors], *[f"_b_{f}" for f in flags]])}
+    out = {}
+    for (name, _, flag), (y, ts) in zip(models, split):
+        need = [place[v] for v in [y, *_variables(ts)[0]]] + [place[f"_f_{f}"] for f in _variables(ts)[1]]
+        total = sum((m for g, m in crosses.items() if all(g[i] == "0" for i in need) and (not flag or g[place[f"_b_{flag}"]] == "1")), np.zeros((len(names) + 1, len(names) + 1)))
+        n = int(round(total[0, 0]))
+        if not n:
+            raise ValueError(f"{name}: no complete rows")
+        keep = []
+        for t in ts:
+            one = [label(a) for a in named(t)]
+            here = [c for c in one if total[at[c], at[c]] != 0 or not re.search(r"C\(", c)]  # levels that these rows have
+            whole = len(t) == 1 or all((a,) in ts for a in t if a.startswith("C("))
+            keep += here[1:] if len(t) == 1 and t[0].startswith("C(") else [c for c in here if not (whole and _first_level(c, total, at, levels))]
+        i, j = [at[c] for c in keep], at[y]
+        s, sy = total[0, i], total[0, j]
+        gram = total[np.ix_(i, i)] - np.outer(s, s) / n
+        xy = total[i, j] - s * sy / n
+        move = lambda c: shift.get(c, 0.0)
+        means = s / n + np.array([move(c) for c in keep])
+        out[name] = solve(gram, xy, float(total[j, j] - sy * sy / n), n, means, sy / n + move(y), keep)
+    return out
+
+
+def _first_level(column: str, total: np.ndarray, at: dict[str, int], levels: dict[str, list[str]]) -> bool:
+    """Whether an interaction's column holds the first level (of those that the rows have) of one of its factors."""
+    for f, v in re.findall(r"C\((\w+)\)\[([^\]]*)\]", column):
+        have = [x for x in levels[f] if (c := f"C({f})[{x}]") in at and total[at[c], at[c]] != 0]
+        if have and v == have[0]:
+            return True
+    return False
+
+
+def ladder(df: DataFrame, models: list[tuple[str, str, str | None]]) -> DataFrame:
+    """Coefficients of the models with stars (N2, N3): model, term, coef, se, t, p, r2, n, stars."""
     from ..functions.text import stars
 
-    out = None
-    for i, f in enumerate(formulas, 1):
-        one = ols(df, f.format(y=outcome)).frame(df.sparkSession, f"{name}{i}")
-        out = one if out is None else out.unionByName(one)
+    rows = []
+    number = lambda x: None if math.isnan(x) else float(x)
+    for name, fit in fit_all(df, models).items():
+        rows += [(name, k, *(number(v) for v in values), number(fit.r2), fit.n) for k, values in zip(fit.names, zip(fit.coef, fit.se, fit.t, fit.p))]
+    out = df.sparkSession.createDataFrame(rows, "model string, term string, coef double, se double, t double, p double, r2 double, n bigint")
     return out.withColumn("stars", stars(F.col("p")))
 
 
+def coefficient_table(coefs: DataFrame, models: list[str], shown: list[str] = SHOWN) -> DataFrame:
+    """Terms by models (N3): `0.123***` over `(0.045)`; terms that no model has are left out."""
+    from ..functions.text import stars
+
+    level = F.when(stars(F.col("p")) == ".", "").otherwise(stars(F.col("p")))
+    cell = F.concat(F.format_string("%.3f", "coef"), level, F.lit(" ("), F.coalesce(F.format_string("%.3f", "se"), F.lit("")), F.lit(")"))
+    order = F.array_position(F.array(*[F.lit(s) for s in shown]), F.col("term"))
+    t = coefs.filter(F.col("term").isin(shown)).withColumn("cell", cell)
+    return t.groupBy(order.cast("int").alias("place"), "term").pivot("model", models).agg(F.first("cell")).na.fill("", models)
+
+
 def slope_difference(a: Fit, b: Fit, term: str) -> tuple[float, float, float]:
     """b - a, z and its two-sided p."""
     i, j = a.names.index(term), b.names.index(term)

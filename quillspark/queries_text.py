@@ -401,14 +401,33 @@ def mediation_paths(spark: SparkSession, d: str) -> DataFrame:
     return E.mediation(_sample(spark, d), "t", "m", "y", [], "doc_id", draws=1).select(F.round("acme", 4).alias("acme"), F.round("ade", 4).alias("ade"))
 
 
-@query()
+# Two regressors by centred sums; p of Student's t and of the normal distribution by Simpson's rule over their densities.
+_TWO = """SELECT post, count(*)::DOUBLE AS n, avg(m) AS ma, avg(quality) AS mb, avg(y) AS my, var_pop(m) * count(*) AS aa, var_pop(quality) * count(*) AS bb, covar_pop(m, quality) * count(*) AS ab, covar_pop(m, y) * count(*) AS ay, covar_pop(quality, y) * count(*) AS b_y, var_pop(y) * count(*) AS yy FROM {src} GROUP BY post"""
+_SOLVED = """d AS (SELECT *, aa * bb - ab * ab AS det FROM two), e AS (SELECT *, (ay * bb - b_y * ab) / det AS c1, (b_y * aa - ay * ab) / det AS c2 FROM d), g AS (SELECT *, my - c1 * ma - c2 * mb AS c0, (yy - c1 * ay - c2 * b_y) / (n - 3) AS s2, 1 - (yy - c1 * ay - c2 * b_y) / yy AS r2 FROM e),
+ h AS (SELECT *, sqrt(s2 * bb / det) AS e1, sqrt(s2 * aa / det) AS e2, sqrt(s2 * (1 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)) AS e0 FROM g)"""
+_SIMPSON = "(SELECT i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(generate_series(0, 2000)) AS i))"
+
+
+@query(f"""WITH {_SAMPLE}, two AS ({_TWO.format(src="(SELECT *  REPLACE (0 AS post) FROM x)")}), {_SOLVED}, l AS (SELECT 'Intercept' AS term, c0 AS coef, e0 AS se, r2, n FROM h UNION ALL SELECT 'm', c1, e1, r2, n FROM h UNION ALL SELECT 'quality', c2, e2, r2, n FROM h), t AS (SELECT *, coef / se AS t FROM l),
+ p AS (SELECT term, 1 - 2 * sum(w * exp(lgamma((n - 2) / 2) - lgamma((n - 3) / 2)) / sqrt((n - 3) * pi()) * pow(1 + pow(i * abs(t) / 2000, 2) / (n - 3), -(n - 2) / 2)) * max(abs(t)) / 2000 / 3 AS p FROM t, {_SIMPSON} GROUP BY term)
+SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(t, 6) AS t, round(abs(p), 6) AS p, round(r2, 9) AS r2, CAST(n AS BIGINT) AS n FROM t JOIN p USING (term)""")
+def ols_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients, standard errors, t, p, R2 and n of a model of two regressors."""
+    ship_package(spark)
+    c = E.ladder(_sample(spark, d), [("m", "y ~ m + quality", None)])
+    return c.select("term", *[F.round(k, n).alias(k) for k, n in (("coef", 3), ("se", 3), ("t", 6), ("p", 6), ("r2", 9))], "n")
+
+
+@query(f"""WITH {_SAMPLE}, two AS ({_TWO.format(src="x")}), {_SOLVED}, z AS (SELECT b.c1 - a.c1 AS difference, (b.c1 - a.c1) / sqrt(a.e1 * a.e1 + b.e1 * b.e1) AS z FROM h a JOIN h b ON a.post = 0 AND b.post = 1),
+ p AS (SELECT difference, z, abs(1 - 2 * sum(w * exp(-pow(i * abs(z) / 2000, 2) / 2)) / sqrt(2 * pi()) * abs(z) / 2000 / 3) AS p FROM z, {_SIMPSON} GROUP BY 1, 2)
+SELECT round(difference, 3) AS difference, round(z, 6) AS z, round(p, 6) AS p, CASE WHEN p < 0.05 THEN 'changed' ELSE 'no change found' END AS verdict FROM p""")
 def slope_change(spark: SparkSession, d: str) -> DataFrame:
-    """Two samples' slopes, the z of their difference, its p and the verdict; without SQL."""
+    """Two samples' slopes, the z of their difference, its p and the verdict."""
     ship_package(spark)
-    x = saved(_sample(spark, d))
-    a, b = (E.ols(x.filter(F.col("post") == p), "y ~ m + quality") for p in (0, 1))
-    diff, z, p = E.slope_difference(a, b, "m")
-    return spark.createDataFrame([(diff, z, p, E.verdict(p))], "difference double, z double, p double, verdict string")
+    x = _sample(spark, d).withColumn("before", 1 - F.col("post"))
+    f = E.fit_all(x, [("before", "y ~ m + quality", "before"), ("after", "y ~ m + quality", "post")])
+    diff, z, p = E.slope_difference(f["before"], f["after"], "m")
+    return spark.createDataFrame([(round(diff, 3), round(z, 6), round(p, 6), E.verdict(p))], "difference double, z double, p double, verdict string")
 
 
 @query()
@@ -421,25 +440,37 @@ def mediation_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return one(0).unionByName(one(1))
 
 
-@query()
-def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Nested models on the campaigns, both platforms, with stars: M1-M5 on all, successful M1-M5 on those
-    that succeeded; without SQL (see the closed forms)."""
-    ship_package(spark)
+_MODELS = [(f"M{i}", f, None) for i, f in enumerate(E.LADDER, 1)] + [(f"successful M{i}", f, "success_indicator") for i, f in enumerate(E.LADDER_SUCCESSFUL, 1)]
+
+
+def _campaigns(spark: SparkSession, d: str) -> DataFrame:
+    """The variables of the models, of the campaigns in dollars of both platforms."""
     c = table(spark, d, "combined_all_columns")
     goal = T.impute_goal(F.col("platform"), F.col("goal"), F.col("pledged"), F.col("funds_raised_percent"))
     x = T.unify_category(c).withColumns({"t": wall_clock_iso(), "g": goal, "pct": T.funding_percent(F.col("platform"), F.col("percent_funded"), F.col("funds_raised_percent"))})
     x = x.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & F.col("t").isNotNull() & F.col("story_content").isNotNull())
     f = X.linguistic_features(F.col("story_content"), _STOP)
     x = X.text_arrays(x, F.col("story_content"))
-    x = x.select(
+    return x.select(
         F.round(T.log_floor(F.col("pct") / 100 * F.col("g"), True), 9).alias("log_pledged_amount"), T.log_floor(F.when(F.col("g") > 0, F.col("g"))).alias("log_goal"),
         X.simple_quality(F.col("story_content")).alias("text_quality"), X.word_count(F.col("story_content")).alias("word_count"), F.month("t").alias("month"), F.year("t").alias("year"), "category_unified",
         (F.col("t") > F.lit("2022-11-30 00:00:00").cast("timestamp_ntz")).cast("int").alias("PostGPT"), (F.col("platform") == "Indiegogo").cast("int").alias("indiegogo"), X.ai_score(f).alias("ai_score"),
-        T.success(F.col("pct"), F.col("state")).alias("success"),
+        T.success(F.col("pct"), F.col("state")).alias("success_indicator"),
     )
-    x = saved(x)
-    return E.ladder(x).unionByName(E.ladder(x.filter("success = 1"), formulas=E.LADDER_SUCCESSFUL, name="successful M"))
+
+
+@query()
+def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Nested models on the campaigns, both platforms, with stars: M1-M5 on all, successful M1-M5 on those
+    that succeeded; without SQL (ols_summary and the closed forms have it)."""
+    ship_package(spark)
+    return E.ladder(saved(_campaigns(spark, d)), _MODELS)
+
+
+@query()
+def ols_table(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the study, terms by models; without SQL."""
+    return E.coefficient_table(ols_ladder(spark, d), [n for n, _, _ in _MODELS])
 
 
 # ---- windows over time and joins the study lacks (P)

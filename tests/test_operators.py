@@ -124,6 +124,41 @@ def test_least_squares(spark):
         E.ols(df.limit(0), "y ~ x")
 
 
+def test_many_models_of_one_table_equal_each_alone(spark):
+    """Missing values differ by variable, the flagged rows lack the factor's first level, products with far offsets."""
+    rng = np.random.default_rng(4)
+    n = 300
+    a, b, g, h = rng.normal(size=n) + 50, rng.integers(0, 2, n), rng.integers(0, 3, n), rng.integers(1, 13, n)
+    y, w = 1 + a * 0.3 + b * (a - 50) + g + rng.normal(size=n), rng.normal(size=n)
+    flag = ((g > 0) & (rng.random(n) < 0.8)).astype(int)
+    rows = [(float(a[i]) if i % 17 else None, int(b[i]), "uvw"[g[i]] if i % 29 else None, int(h[i]), float(y[i]), float(w[i]) if i % 5 else float("nan"), int(flag[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b int, g string, h int, y double, w double, flag int")
+    models = [("one", "y ~ a*b", None), ("two", "y ~ a*b + w + C(g)", None), ("three", "y ~ a + C(g)", "flag"), ("four", "w ~ a + C(g):C(h)", None)]
+    got = E.fit_all(df, models)
+
+    def by_hand(y, cols, keep):
+        m = np.column_stack([np.ones(keep.sum()), *[c[keep] for c in cols]]).astype(float)
+        coef = np.linalg.pinv(m) @ y[keep]
+        rank = np.linalg.matrix_rank(m)
+        s2 = ((y[keep] - m @ coef) ** 2).sum() / (keep.sum() - rank)
+        return coef, np.sqrt(np.diag(np.linalg.pinv(m.T @ m)) * s2), 1 - ((y[keep] - m @ coef) ** 2).sum() / ((y[keep] - y[keep].mean()) ** 2).sum()
+
+    i = np.arange(n)
+    has_a, has_g, has_w = i % 17 != 0, i % 29 != 0, i % 5 != 0
+    for name, (cols, out, keep) in {
+        "one": ([a, b, a * b], y, has_a), "two": ([a, b, w, g == 1, g == 2, a * b], y, has_a & has_g & has_w), "three": ([a, g == 2], y, has_a & has_g & (flag == 1)),
+    }.items():
+        coef, se, r2 = by_hand(out, cols, keep)
+        f = got[name]
+        assert f.n == keep.sum() and np.allclose(f.coef, coef, rtol=1e-5, atol=1e-7) and np.allclose(f.se, se, rtol=1e-4) and f.r2 == pytest.approx(r2, abs=1e-8), name
+    coef, _, r2 = by_hand(w, [a, *[(g == x) & (h == z) for x in range(3) for z in range(1, 13)]], has_a & has_g & has_w)
+    assert got["four"].coef[1] == pytest.approx(coef[1], rel=1e-5) and got["four"].r2 == pytest.approx(r2, abs=1e-8)
+    table = {r["term"]: r for r in E.coefficient_table(E.ladder(df, models), [m[0] for m in models], ["a", "b", "a:b", "z"]).collect()}
+    assert set(table) == {"a", "b", "a:b"} and table["a:b"]["one"].startswith("1.") and "***" in table["a:b"]["one"] and table["b"]["three"] == ""
+    with pytest.raises(ValueError):
+        E.fit_all(df.withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("k", F.monotonically_increasing_id()), [("x", "y ~ C(k)", None)])
+
+
 def test_mediation_is_the_same_in_other_partitions(spark):
     rng = np.random.default_rng(2)
     t = rng.integers(0, 2, 300)
