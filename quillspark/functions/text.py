@@ -74,6 +74,11 @@ def grammar_quality(text: Column, issues: Column | None = None) -> Column:
     return F.when(n > 0, 1.0 - (issue_count(text) if issues is None else issues) / n)
 
 
+def text_quality(text: Column, issues: Column | None = None, use_simple: bool = False) -> Column:
+    """Grammar quality where a checker's count of issues is at hand, else (or if asked) the simple quality."""
+    return simple_quality(text) if use_simple or issues is None else grammar_quality(text, issues)
+
+
 def vowel_groups(word: Column) -> Column:
     return F.greatest(F.regexp_count(F.lower(word), F.lit("[aeiouy]+")), F.lit(1))
 
@@ -118,14 +123,22 @@ def _like_pairs(texts: pd.Series) -> pd.Series:
         if n < 2:
             return 0.0
         pairs = sum(c * (c - 1) // 2 for k, c in counts.items() if k)
-        sets = sorted(counts, key=len)
-        for i, a in enumerate(sets):
-            for b in sets[i + 1 :]:
-                if len(a) * 2 <= len(b):
-                    break  # a larger set can't share over half
-                both = len(a & b)
-                if both * 2 > len(a) + len(b) - both:
-                    pairs += counts[a] * counts[b]
+        # a pair that shares over half has a word in common among the rarer half of the smaller set: only pairs
+        # that meet there are compared, by rising size
+        rare: dict[str, int] = {}
+        for k in counts:
+            for w in k:
+                rare[w] = rare.get(w, 0) + 1
+        holds: dict[str, list[int]] = {}
+        sets = sorted((k for k in counts if k), key=len, reverse=True)
+        for i, a in enumerate(sets):  # larger ones first, so those that are met are at least as large
+            some = sorted(a, key=lambda w: (rare[w], w))[: (len(a) + 1) // 2]
+            for j in {j for w in some for j in holds.get(w, ())}:
+                both = len(a & sets[j])
+                if both * 3 > len(a) + len(sets[j]):
+                    pairs += counts[a] * counts[sets[j]]
+            for w in a:
+                holds.setdefault(w, []).append(i)
         return pairs / n
 
     return pd.Series([one(t) for t in texts], dtype="float64")
@@ -134,8 +147,8 @@ def _like_pairs(texts: pd.Series) -> pd.Series:
 def repetition(text: Column) -> Column:
     """Pairs of sentences that share over half of their words, by sentence (D11); below two sentences 0.
 
-    Equal sets are counted by their number; different ones are compared by rising size, so that only sets
-    under twice as large are looked at.  Pairs are counted where the text is and never written out.
+    Equal sets are counted by their number; of the different ones only pairs that share a word of the rarer half are
+    compared.  Pairs are counted where the text is and never written out.
     """
     return F.pandas_udf(_like_pairs, T.DoubleType())(text)
 

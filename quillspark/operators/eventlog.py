@@ -60,19 +60,31 @@ def state() -> Column:
     )
 
 
+SPAN = 10_000  # sessions of a log that are counted together
+
+
 def run_chart(s: DataFrame, log: str) -> DataFrame:
-    """Runs of equal states: log, run, state, n."""
-    w = Window.partitionBy(log).orderBy("session")
-    x = s.withColumn("_new", (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int"))
-    x = x.withColumn("run", F.sum("_new").over(w))
-    return x.groupBy(log, "run").agg(F.first("state").alias("state"), F.count("*").alias("n"))
+    """Runs of equal states: log, run, state, n (L7).  Sessions are numbered without gaps, as `sessions` does.
+
+    There may be one log: each session hands its state to the next by its number, and runs are counted over spans.
+    """
+    after = s.select(log, (F.col("session") + 1).alias("session"), F.col("state").alias("_prior"), F.lit(None).cast("string").alias("state"), F.lit(False).alias("_own"))
+    own = s.select(log, "session", F.lit(None).cast("string").alias("_prior"), "state", F.lit(True).alias("_own"))
+    x = own.unionByName(after).groupBy(log, "session").agg(F.max("state").alias("state"), F.max("_prior").alias("_prior"), F.max("_own").alias("_own")).filter("_own")
+    x = running_count(x, [log], ["session"], ~F.col("state").eqNullSafe(F.col("_prior")), "run", "session", bucket=F.floor(F.col("session") / SPAN))
+    return x.groupBy(log, "run").agg(F.min("state").alias("state"), F.count("*").alias("n"))
 
 
 def reset_efficacy(s: DataFrame, log: str, ahead: int = 5) -> DataFrame:
-    """resets, worked: resets whose next sessions are all clean or soft; none after it isn't a success."""
-    w = Window.partitionBy(log).orderBy("session").rowsBetween(1, ahead)
-    good = F.min(F.col("state").isin("CLEAN", "SOFT_BLOCK").cast("int")).over(w)
-    return s.withColumn("_good", F.coalesce(good, F.lit(0))).filter("was_reset = 1").groupBy(log).agg(F.count("*").alias("resets"), F.sum("_good").alias("worked"))
+    """resets, worked: resets whose next sessions are all clean or soft; none after it isn't a success.
+
+    Sessions are numbered without gaps: each tells the `ahead` sessions before it whether it is good.
+    """
+    good = F.col("state").isin("CLEAN", "SOFT_BLOCK").cast("int")
+    told = s.select(log, F.explode(F.sequence(F.col("session") - ahead, F.col("session") - 1)).alias("session"), good.alias("_good"), F.lit(0).alias("was_reset"))
+    own = s.select(log, "session", F.lit(None).cast("int").alias("_good"), "was_reset")
+    x = own.unionByName(told).groupBy(log, "session").agg(F.max("was_reset").alias("was_reset"), F.min("_good").alias("_good")).filter("was_reset = 1")
+    return x.groupBy(log).agg(F.count("*").alias("resets"), F.sum(F.coalesce("_good", F.lit(0))).alias("worked"))
 
 
 def tipping_point(s: DataFrame, log: str) -> DataFrame:

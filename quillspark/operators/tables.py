@@ -105,17 +105,25 @@ def whole_days(later: Column, earlier: Column) -> Column:
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep_null_keys: bool = False) -> DataFrame:
     """The first row of each key by an explicit rising order, nulls first (G4); rows with a null key stay if asked.
 
-    An aggregate, so that a key that holds a third of all rows is reduced before it is moved.  Ties must be
-    broken by `order`.  Null keys form one group unless they are kept.
+    Only the first row of a key leaves each partition (Spark limits the groups before it moves them), so a key that
+    holds a third of all rows is no bottleneck.  Ties must be broken by `order`.  Null keys form one group unless
+    they are kept.
     """
     null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    rest = [c for c in df.columns if c not in keys]
     x = df.filter(~null) if keep_null_keys else df
-    first = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    out = x.groupBy(*keys).agg(first.alias("_v")).select(*keys, "_v.*").select(*df.columns)
+    out = x.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
     return out.unionByName(df.filter(null)) if keep_null_keys else out
 
 
+def without_last(df: DataFrame, group: list[str], order: list[Column], key: str, n: int) -> DataFrame:
+    """All but the last n rows of each group by a rising order (I2); `key` tells rows apart.
+
+    The last rows are found by limited groups as in first_by and taken out by their key, so no task gets a whole group.
+    """
+    last = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*[o.desc() for o in order]))).filter(F.col("_rn") <= n).select(key)
+    return df.join(last, key, "left_anti")
+
+
 def best_by(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
     """The values of the row that comes last by `order`: an aggregate, so a hot key is reduced before it is moved."""
     picked = F.max_by(F.struct(*values), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
@@ -153,14 +161,33 @@ def crosstab_margins(df: DataFrame, row: str, col: str) -> DataFrame:
     )
 
 
+def quantiles(df: DataFrame, value: Column, shares: list[float]) -> DataFrame:
+    """One row: n and q0, q1, ..., the exact quantiles (linear between neighbours) of the values that aren't null.
+
+    Equal values are counted first, so a value that a third of all rows have is one row; the different values are
+    put into ranges and their counts added up range by range, so no task holds them all.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = df.select(value.alias("_x")).filter("_x is not null").groupBy("_x").agg(F.count("*").alias("_k"))
+    g = saved(g.repartitionByRange(parts, "_x").withColumn("_p", F.spark_partition_id()))  # the ranges must stay as they are
+    sums = g.groupBy("_p").agg(F.sum("_k").alias("_s"))  # a row a range
+    before = sums.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_before"))
+    n = sums.agg(F.coalesce(F.sum("_s"), F.lit(0))).first()[0]
+    end = F.sum("_k").over(Window.partitionBy("_p").orderBy("_x")) + F.col("_before")
+    x = g.join(F.broadcast(before), "_p").withColumn("_end", end)
+    at = lambda i: F.max(F.when((F.col("_end") > i) & (F.col("_end") - F.col("_k") <= i), F.col("_x")))
+    places = [(n - 1) * q for q in shares] if n else [0.0 for _ in shares]
+    out = x.agg(F.lit(n).alias("n"), *[f for i, p in enumerate(places) for f in (at(int(p)).alias(f"_a{i}"), at(min(int(p) + 1, max(n - 1, 0))).alias(f"_b{i}"))])
+    return out.select("n", *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (p - int(p))).alias(f"q{i}") for i, p in enumerate(places)])
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count, mean, std, min, quartiles (linear), max (H6, H7)."""
     x = F.nanvl(F.col(col).cast("double"), F.lit(None))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
-        F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("min"),
-        F.round(q[0], 6).alias("q25"), F.round(q[1], 6).alias("q50"), F.round(q[2], 6).alias("q75"), F.max(x).alias("max"),
-    )
+    one = df.agg(F.lit(1).alias("_one"), F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df, x, [0.25, 0.5, 0.75]).select(F.lit(1).alias("_one"), *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    return one.join(F.broadcast(q), "_one").select("n", "mean", "std", "min", "q25", "q50", "q75", "max")  # one row each
 
 
 def monthly_mean(df: DataFrame, date: Column, value: Column, fill_gaps: bool) -> DataFrame:
@@ -190,24 +217,49 @@ def tag_counts(df: DataFrame, col: str) -> DataFrame:
     return value_counts(tags, "tag")
 
 
-def split_sample(df: DataFrame, key: str, label: str, share: float = 0.8) -> DataFrame:
-    """Stratified split by a hash of the key: the same row always falls on the same side (I8)."""
-    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return df.withColumn("part", F.when(h < share, "train").otherwise("test")).select(key, label, "part")
+def _hash(key: str, seed: str = "") -> Column:
+    """A number from 0 to 1 (32 bits) told by a row's key."""
+    text = F.col(key).cast("string") if not seed else F.concat(F.col(key).cast("string"), F.lit(seed))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Rows numbered into batches of `size` by a unique order.
+def split_sample(df: DataFrame, key: str, label: str, share: float = 0.8, buckets: int = 4096) -> DataFrame:
+    """Stratified split (I8): of each label the first floor(share x n) rows by a hash of the key are `train`, the rest
+    `test`; a null label is one of its own.
+
+    A label may hold any share of the rows: they are counted by ranges of the hash first, and ranked within these.
+    """
+    x = df.select(key, label, _hash(key).alias("_h")).withColumn("_b", F.floor(F.col("_h") * buckets).cast("int"))
+    counts = x.groupBy(label, "_b").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(label)
+    counts = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_bb"), (F.sum("_k").over(w.orderBy("_b")) - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) + F.col("_before")
+    j = x.join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_bb")))
+    return j.select(key, label, F.when(rank <= F.floor(F.col("_n") * share), "train").otherwise("test").alias("part"))
+
+
+def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds the place (from 1) of each row in a unique order.
 
     The order is cut into ranges first: a range's rows are counted, and numbered on from the ranges before.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = saved(df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()))  # the ranges must stay as they are
-    starts = x.groupBy("_p").agg(F.count("*").alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = saved(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))  # the ranges must stay as they are
+    starts = x.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a range
     before = starts.select(F.col("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rn = F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_before")
-    return x.join(F.broadcast(before), "_p").withColumn("batch", F.ceil(rn / size).cast("bigint")).select(*df.columns, "batch")
+    rn = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before")
+    return x.join(F.broadcast(before), "_p").withColumn(out, rn).select(*df.columns, out)
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """The rows with `place`, their position in an order told by a hash of key and seed."""
+    x = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    return ranked(x, ["_h", key], "place").drop("_h")
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Rows numbered into batches of `size` by a unique order."""
+    return ranked(df, [order], "_place").withColumn("batch", F.ceil(F.col("_place") / size).cast("bigint")).drop("_place")
 
 
 def known_projects(df: DataFrame, ident: str = "id") -> DataFrame:

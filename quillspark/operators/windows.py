@@ -10,10 +10,10 @@ def _bucketed(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("_b", F.coalesce(F.call_function("div", F.unix_seconds(F.col(ts).cast("timestamp")), F.lit(seconds)), F.lit(0)))
 
 
-def running_count(df: DataFrame, keys: list[str], order: list[str], hit: Column, out: str, ts: str, seconds: int = 86400) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], order: list[str], hit: Column, out: str, ts: str, seconds: int = 86400, bucket: Column | None = None) -> DataFrame:
     """Adds how many rows of the group hold `hit` up to each row; `order` begins with `ts`, nulls of which come first
-    only where all are null."""
-    x = _bucketed(df, ts, seconds).withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("bigint"))
+    only where all are null.  The group is cut by `bucket`, if it is given, which must rise with the order."""
+    x = (_bucketed(df, ts, seconds) if bucket is None else df.withColumn("_b", bucket)).withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("bigint"))
     own = [*keys, "_b"]
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = x.groupBy(*own).agg(F.sum("_hit").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")

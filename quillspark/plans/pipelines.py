@@ -23,7 +23,6 @@ def updates_pipeline(projects: DataFrame, updates: DataFrame, done: DataFrame, s
     p = p.join(done.select(project_number(F.col("project_id")).alias("project")).filter("project is not null"), "project", "left_anti")
     u = B.first_by(updates.select("id", "project_id", "body"), ["id"], [F.col("body"), F.col("project_id")], keep_null_keys=True)
     u = u.withColumn("project", project_number(F.col("project_id"))).join(p, "project", "left_semi")
-    s = sentence_scores(u, "id", "body", scorer).withColumnRenamed("mean", "sentence_mean")
-    return u.select(
-        "id", "project", X.word_count(F.col("body")).alias("n_words"), F.round(X.simple_quality(F.col("body")), 9).alias("quality"),
-    ).join(s.select("id", F.round("sentence_mean", 6).alias("sentence_mean")), "id", "left")
+    row = F.struct("id", "project", X.word_count(F.col("body")).alias("n_words"), F.round(X.simple_quality(F.col("body")), 9).alias("quality"))
+    s = sentence_scores(u.select(row.alias("row"), "body"), "row", "body", scorer)
+    return s.select("row.*", F.round("mean", 6).alias("sentence_mean"))

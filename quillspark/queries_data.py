@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.impute import fill_errors, fill_from_similar
+from .operators.tables import whole_days
 from .operators.timestamps import instants_to_mend, normalise_timestamps
 from .operators.units import amounts_in_common_unit
 from .queries_tables import pid
@@ -68,13 +69,21 @@ def p5_statuses(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d).groupBy("field_name", "status").agg(F.count("*").alias("n"))
 
 
+def preparation_time(spark: SparkSession, d: str) -> DataFrame:
+    """Whole days from creation to launch of every row, from the instants of all spellings; null where one tells none."""
+    at = lambda f: F.max(F.when(F.col("field_name") == f, F.col("epoch_s")))
+    x = normalise_timestamps(table(spark, d, "combined_all_columns"), ["created_at", "launched_at"], table(spark, d, "crawl_sources"))
+    g = x.groupBy("row_id").agg(at("launched_at").alias("launched"), at("created_at").alias("made"))
+    return g.select("row_id", whole_days(F.col("launched"), F.col("made")).alias("preparation_days"))
+
+
 def _instants(spark: SparkSession, d: str) -> DataFrame:
     return normalise_timestamps(
         table(spark, d, "combined_all_columns"), ["created_at", "launched_at", "deadline"], table(spark, d, "crawl_sources")
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p4_filled, p4_donors, p4_errors, p5_found, p5_normalised, p5_statuses)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p4_filled, p4_donors, p4_errors, p5_found, p5_normalised, p5_statuses, preparation_time)}
 
 _FIELDS = ("goal", "pledged", "funds_raised_percent")
 
@@ -135,3 +144,4 @@ SQL["p5_normalised"] = "WITH f AS (" + SQL["p5_found"] + """), v AS (SELECT row_
  UNION ALL SELECT row_id, 'launched_at', CAST(launched_at AS VARCHAR) FROM combined_all_columns),
  p AS (SELECT *, coalesce(CASE WHEN field_name = 'launched_at' THEN regexp_matches(raw, '^[1-9][0-9]{8,9}$') ELSE regexp_matches(raw, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$') END, false) AS is_plain FROM v)
 SELECT row_id, field_name, is_plain, CASE WHEN NOT is_plain THEN f.epoch_s WHEN field_name = 'launched_at' THEN CAST(raw AS BIGINT) ELSE CAST(epoch(try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ')) AS BIGINT) END AS epoch_s FROM p LEFT JOIN f USING (row_id, field_name)"""
+SQL["preparation_time"] = "SELECT row_id, CAST(floor((max(epoch_s) FILTER (field_name = 'launched_at') - max(epoch_s) FILTER (field_name = 'created_at')) / 86400.0::DOUBLE) AS BIGINT) AS preparation_days FROM (" + SQL["p5_normalised"] + ") GROUP BY 1"

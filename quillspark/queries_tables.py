@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions.keys import project_number
 from .operators import tables as T
-from .operators.timestamps import normalise_timestamps
 from .session import table
 from .sources import io
 
@@ -46,25 +45,23 @@ IG = [*KS[:13], "is_indemand", "source_url"]
 
 
 def _std(cols: list[str], platform: str) -> str:
-    return f"SELECT '{platform}' AS platform, " + ", ".join(f"CAST({c} AS VARCHAR) AS {t}" for c, t in zip(cols, TARGETS) if c not in ("pledged", "goal")) + f" FROM combined_all_columns WHERE platform = '{platform}'"
+    text = lambda c: f"round(CAST({c} AS DOUBLE), 4)" if c in ("pledged", "goal") else f"CAST({c} AS VARCHAR)"
+    return f"SELECT '{platform}' AS platform, " + ", ".join(f"{text(c)} AS {t}" for c, t in zip(cols, TARGETS)) + f" FROM combined_all_columns WHERE platform = '{platform}'"
 
 
 @query(_std(KS, "Kickstarter") + " UNION ALL " + _std(IG, "Indiegogo"))
 def standardize_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two sources under one schema.  The amounts are left to other queries: engines spell doubles differently."""
-    return _standardised(spark, d).drop("pledged_amount", "goal_amount")
-
-
-@query()
-def standardize_union_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """The whole schema, both amounts as doubles; without SQL."""
-    return _standardised(spark, d).withColumns({c: F.col(c).cast("double") for c in ("pledged_amount", "goal_amount")})
+    """Two sources under one schema, both amounts as doubles."""
+    c = table(spark, d, "combined_all_columns")
+    parts = [T.standardise(c.filter(F.col("platform") == p), dict(zip(TARGETS, cols)), p) for p, cols in (("Kickstarter", KS), ("Indiegogo", IG))]
+    return T.union_all(*parts).withColumns({a: F.round(F.col(a).cast("double"), 4) for a in ("pledged_amount", "goal_amount")})
 
 
-def _standardised(spark: SparkSession, d: str) -> DataFrame:
+@query("SELECT row_id, round(TRY_CAST(replace(CAST(backers_count AS VARCHAR) || '%', '%', '') AS DOUBLE), 6) AS share, CASE WHEN regexp_matches(deadline, '^[0-9]+$') THEN TRY_CAST(deadline AS DOUBLE) END AS other FROM combined_all_columns")
+def percent_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers with a percent sign; texts that are none are null."""
     c = table(spark, d, "combined_all_columns")
-    parts = [T.standardise(c.filter(F.col("platform") == p), dict(zip(TARGETS, cols)), p) for p, cols in (("Kickstarter", KS), ("Indiegogo", IG))]
-    return T.union_all(*parts)
+    return c.select("row_id", F.round(T.percent(F.concat(F.col("backers_count").cast("string"), F.lit("%"))), 6).alias("share"), F.when(F.col("deadline").rlike("^[0-9]+$"), T.percent(F.col("deadline"))).alias("other"))
 
 
 @query(rf"""SELECT row_id, regexp_replace(id, '\.0$', '') AS clean_id, {pid('id')} AS project_id, TRY_CAST(replace(deadline, '%', '') AS BIGINT) AS deadline_number
@@ -95,45 +92,33 @@ def goal_impute_success(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
-_WALL = rf"CASE WHEN regexp_matches(regexp_replace(created_at, '(Z|[+-]\d{{2}}:\d{{2}})$', ''), '{ISO}') THEN TRY_CAST(regexp_replace(created_at, '(Z|[+-]\d{{2}}:\d{{2}})$', '') AS TIMESTAMP) END"
-
-
-def wall_clock() -> Column:
-    """created_at without its zone, the wall clock kept (D18); other spellings are null."""
-    bare = X.strip_zone(F.regexp_replace("created_at", "Z$", ""))
-    return F.when(bare.rlike(ISO), bare.try_cast("timestamp_ntz"))
-
-
 ISO_ANY = r"^\s*(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(?:Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
 
 
 def wall_clock_iso() -> Column:
-    """The same for all forms of ISO 8601: blank or T, fractions (to microseconds), no seconds, a date alone (its
-    midnight), without hyphens and colons, offsets of all forms; other spellings are null."""
+    """created_at without its zone, the wall clock kept (D18), from all forms of ISO 8601: blank or T, fractions (to
+    microseconds), no seconds, a date alone (its midnight), without hyphens and colons, offsets of all forms; other
+    spellings are null."""
     g = lambda i: F.regexp_extract("created_at", ISO_ANY, i)
     or0 = lambda c: F.when(c == "", "00").otherwise(c)
     text = F.concat(F.concat_ws("-", g(1), g(3), g(4)), F.lit(" "), F.concat_ws(":", or0(g(5)), or0(g(6)), or0(g(7))), F.when(g(8) != "", F.concat(F.lit("."), g(8))).otherwise(""))
     return F.when(F.col("created_at").rlike(ISO_ANY), text.try_cast("timestamp_ntz"))
 
 
+_SQL_ISO = r"^\s*([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[T ]([0-9]{2}):?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?\s*$"
+_SQL_PART = lambda i: f"regexp_extract(created_at, '{_SQL_ISO}', {i})"
+_SQL_OR0 = lambda i: f"CASE WHEN {_SQL_PART(i)} = '' THEN '00' ELSE {_SQL_PART(i)} END"
+_WALL = f"""CASE WHEN regexp_matches(created_at, '{_SQL_ISO}') AND regexp_matches(created_at, '^\\s*[0-9]{{4}}(-[0-9]{{2}}-|[0-9]{{2}}[0-9])') THEN TRY_CAST(concat({_SQL_PART(1)}, '-', {_SQL_PART(2)}, '-', {_SQL_PART(3)}, ' ', {_SQL_OR0(4)}, ':', {_SQL_OR0(5)}, ':', {_SQL_OR0(6)},
+ CASE WHEN {_SQL_PART(7)} <> '' THEN '.' || {_SQL_PART(7)} ELSE '' END) AS TIMESTAMP) END"""
+
+
 @query(f"""WITH c AS (SELECT row_id, platform, {_WALL} AS t FROM combined_all_columns)
 SELECT row_id, CAST(coalesce(t > TIMESTAMP '2022-11-30 00:00:00', false) AS INTEGER) AS post, CAST(coalesce(platform = 'Indiegogo', false) AS INTEGER) AS indiegogo,
  CAST(coalesce(t > TIMESTAMP '2022-11-30 00:00:00', false) AND coalesce(platform = 'Indiegogo', false) AS INTEGER) AS post_indiegogo,
  CAST(month(t) AS INTEGER) AS month, CAST(year(t) AS INTEGER) AS year, strftime(t, '%Y-%m') AS month_year FROM c""")
 def treatment_flags(spark: SparkSession, d: str) -> DataFrame:
     """After the cutoff (a parameter), by platform, and parts of the date."""
-    return _flags(spark, d, wall_clock())
-
-
-@query()
-def treatment_flags_iso(spark: SparkSession, d: str) -> DataFrame:
-    """The same from all forms of ISO 8601; without SQL."""
-    return _flags(spark, d, wall_clock_iso())
-
-
-def _flags(spark: SparkSession, d: str, clock: Column) -> DataFrame:
-    c = table(spark, d, "combined_all_columns").select("row_id", "platform", clock.alias("t"))
+    c = table(spark, d, "combined_all_columns").select("row_id", "platform", wall_clock_iso().alias("t"))
     post = F.coalesce(F.col("t") > F.lit("2022-11-30 00:00:00").cast("timestamp_ntz"), F.lit(False)).cast("int")
     ig = F.coalesce(F.col("platform") == "Indiegogo", F.lit(False)).cast("int")
     return c.select("row_id", post.alias("post"), ig.alias("indiegogo"), (post * ig).alias("post_indiegogo"), F.month("t").alias("month"), F.year("t").alias("year"), F.date_format("t", "yyyy-MM").alias("month_year"))
@@ -159,46 +144,12 @@ def funding_duration(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_orderkey", "l_linenumber", T.whole_days(secs("l_shipdate"), secs("o_orderdate")).alias("days")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT row_id, CAST(floor((launched_at - epoch(try_strptime(created_at, '%Y-%m-%dT%H:%M:%SZ'))) / 86400) AS BIGINT) AS preparation_days
-FROM combined_all_columns WHERE launched_at BETWEEN 1000000000 AND 9999999999 AND regexp_matches(created_at, '{ISO[:-1]}Z$')""")
-def preparation_time(spark: SparkSession, d: str) -> DataFrame:
-    """Launch minus creation, for rows that give both in the plain form; preparation_time_all has every row."""
-    c = table(spark, d, "combined_all_columns").filter(F.col("launched_at").between(1000000000, 9999999999) & F.col("created_at").rlike(ISO[:-1] + "Z$"))
-    made = F.unix_seconds(F.col("created_at").try_cast("timestamp"))
-    return c.select("row_id", T.whole_days(F.col("launched_at"), made).alias("preparation_days"))
-
-
-def _prepared(spark: SparkSession, d: str) -> DataFrame:
-    """row_id and preparation_days of every row, from the instants of all spellings; null where one tells none."""
-    c = table(spark, d, "combined_all_columns")
-    x = normalise_timestamps(c, ["created_at", "launched_at"], table(spark, d, "crawl_sources"))
-    at = lambda f: F.max(F.when(F.col("field_name") == f, F.col("epoch_s")))
-    g = x.groupBy("row_id").agg(at("launched_at").alias("launched"), at("created_at").alias("made"))
-    return g.select("row_id", T.whole_days(F.col("launched"), F.col("made")).alias("preparation_days"))
-
-
-@query()
-def preparation_time_all(spark: SparkSession, d: str) -> DataFrame:
-    """Launch minus creation for every row, null where created_at or launched_at tells no instant; without SQL."""
-    return _prepared(spark, d)
-
-
 @query(f"""SELECT platform, currency, CAST(count(*) AS BIGINT) AS n, CAST(count_if(percent_funded >= 100) AS BIGINT) AS n_success FROM combined_all_columns
 WHERE currency = 'USD' AND {nn('pledged')} > 0 AND story_content IS NOT NULL AND platform = 'Kickstarter' AND {_WALL} IS NOT NULL GROUP BY ALL""")
 def analysis_sample(spark: SparkSession, d: str) -> DataFrame:
     """The rows that the models use, and how many succeeded."""
-    return _analysed(spark, d, wall_clock())
-
-
-@query()
-def analysis_sample_iso(spark: SparkSession, d: str) -> DataFrame:
-    """The same from all forms of ISO 8601; without SQL."""
-    return _analysed(spark, d, wall_clock_iso())
-
-
-def _analysed(spark: SparkSession, d: str, clock: Column) -> DataFrame:
     c = table(spark, d, "combined_all_columns")
-    c = c.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & (F.col("platform") == "Kickstarter")).na.drop(subset=["story_content"]).filter(clock.isNotNull())
+    c = c.filter((F.col("currency") == "USD") & (F.nanvl("pledged", F.lit(None)) > 0) & (F.col("platform") == "Kickstarter")).na.drop(subset=["story_content"]).filter(wall_clock_iso().isNotNull())
     return c.groupBy("platform", "currency").agg(F.count("*").alias("n"), F.count_if(F.col("percent_funded") >= 100).alias("n_success"))
 
 
@@ -220,10 +171,10 @@ def keyword_by_role(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("t").rlike(r"(?i)\b(warranty|prototype|prototypes)\b")).alias("n_hits"))
 
 
-@query(r"""SELECT id, regexp_matches(body, '(?i)\b(patent|patents|patent pending|patented|patenting)\b') AS patent FROM updates WHERE body IS NOT NULL""")
+@query(r"""SELECT id, coalesce(regexp_matches(body, '(?i)\b(patent|patents|patent pending|patented|patenting)\b'), false) AS patent FROM updates""")
 def patent_flag(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that name a patent."""
-    return table(spark, d, "updates").filter("body is not null").select("id", X.has_patent_terms(F.col("body")).alias("patent"))
+    """Texts that name a patent; null is false."""
+    return table(spark, d, "updates").select("id", X.has_patent_terms(F.col("body")).alias("patent"))
 
 
 _HINTS = ["Access denied", "Error code", "You have been blocked", "Incident"]
@@ -380,17 +331,7 @@ def batch_counters(spark: SparkSession, d: str) -> DataFrame:
  CAST(count_if(t IS NOT NULL AND story_content IS NOT NULL) AS BIGINT) AS usable, min(t) AS first_date, max(t) AS last_date FROM c""")
 def quality_audit(spark: SparkSession, d: str) -> DataFrame:
     """H9: what is missing, in one pass."""
-    return _audit(spark, d, wall_clock())
-
-
-@query()
-def quality_audit_iso(spark: SparkSession, d: str) -> DataFrame:
-    """The same from all forms of ISO 8601; without SQL."""
-    return _audit(spark, d, wall_clock_iso())
-
-
-def _audit(spark: SparkSession, d: str, clock: Column) -> DataFrame:
-    c = table(spark, d, "combined_all_columns").select(clock.alias("t"), "created_at", F.col("story_content").isNull().alias("no"))
+    c = table(spark, d, "combined_all_columns").select(wall_clock_iso().alias("t"), "created_at", F.col("story_content").isNull().alias("no"))
     t = F.col("t").isNull()
     return c.agg(
         F.count("*").alias("n"), F.count_if(F.col("created_at").isNull()).alias("null_dates"), F.count_if(F.col("created_at").isNotNull() & t).alias("other_dates"),
@@ -453,12 +394,21 @@ def melt_labels(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", "kind", F.md5("t").alias("text_md5"), F.when(F.col("kind") == "title", 0).otherwise(1).alias("label"))
 
 
-@query("""SELECT o_orderkey, o_orderstatus, CASE WHEN CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'test' END AS part FROM orders""")
+_MD5_SHARE = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"""SELECT o_orderkey, o_orderstatus, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_MD5_SHARE}, o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM orders""")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    """A split that is the same wherever a row is."""
+    """I8: the same share of each label on either side."""
     return T.split_sample(table(spark, d, "orders"), "o_orderkey", "o_orderstatus")
 
 
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey) AS BIGINT) AS place FROM orders")
+def shuffled_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded shuffle, the same wherever a row is."""
+    return T.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
 @query("SELECT o_orderkey, CAST(ceil(row_number() OVER (ORDER BY o_orderkey) / 1000.0::DOUBLE) AS BIGINT) AS batch FROM orders")
 def batch_slices(spark: SparkSession, d: str) -> DataFrame:
     """Rows in batches of a thousand."""
@@ -468,8 +418,35 @@ def batch_slices(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS left_ FROM orders) WHERE left_ > 2")
 def drop_last_two(spark: SparkSession, d: str) -> DataFrame:
     """All but the last two rows of each group."""
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    return table(spark, d, "orders").withColumn("_l", F.row_number().over(w)).filter("_l > 2").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return T.without_last(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey", 2).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+
+
+_FILE = "CASE WHEN author IS NULL THEN 'comments_sentiment_1.csv' ELSE 'comments_1.csv' END"
+
+
+@query(f"SELECT id, {_FILE} AS file FROM comments WHERE NOT contains({_FILE}, '_sentiment_') UNION ALL SELECT id, 'x_sentiment_x' FROM comments WHERE parent_id IS NULL")
+def raw_files_first(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of raw files where there are any (told by the file's name, here made up), else all."""
+    c = table(spark, d, "comments")
+    some = io.prefer_raw(c.select("id", F.when(F.col("author").isNull(), "comments_sentiment_1.csv").otherwise("comments_1.csv").alias("file")), F.col("file"))
+    none = io.prefer_raw(c.filter("parent_id is null").select("id", F.lit("x_sentiment_x").alias("file")), F.col("file"))
+    return some.unionByName(none)
+
+
+@query("""SELECT id, NULL AS parent_id, title AS body, project_id, author FROM updates UNION ALL SELECT id || '-r', id, body, project_id, author_id FROM updates""")
+def nested_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments and replies out of nested JSON (made of the updates: titles with their bodies as replies)."""
+    u = table(spark, d, "updates")
+    author = lambda n: F.struct(F.col(n).alias("name"), F.col("author_id").alias("id"))
+    at = F.unix_seconds(F.col("published_at").cast("timestamp")).alias("createdAt")
+    reply = F.struct(F.concat(F.col("id"), F.lit("-r")).alias("id"), F.col("body"), at, author("author_id").alias("author"))
+    node = F.struct(F.col("id"), F.col("title").alias("body"), at, author("author").alias("author"), F.struct(F.array(F.struct(reply.alias("node"))).alias("edges")).alias("replies"))
+    page = F.struct(F.struct(F.col("project_id").alias("id"), F.struct(F.array(F.struct(node.alias("node"))).alias("edges")).alias("comments")).alias("project"))
+    one = "id: string, body: string, createdAt: bigint, author: struct<name: string, id: string>"
+    schema = f"struct<project: struct<id: string, comments: struct<edges: array<struct<node: struct<{one}, replies: struct<edges: array<struct<node: struct<{one}>>>>>>>>>>"
+    pages = u.select(F.to_json(page).alias("j")).select(F.from_json("j", schema).alias("p")).select("p.*")
+    return io.flatten_comments(pages).select("id", "parent_id", "body", "project_id", "author")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")

@@ -13,10 +13,31 @@ from ..operators.tables import first_by
 FAILURES = T.StructType([T.StructField(c, T.StringType()) for c in ("project_id", "project_url", "error_stage", "error_message", "timestamp")])
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, **options: str) -> DataFrame:
-    """CSV with a header, quoted texts over several lines, and '' as null (A1, A4: `path` may be a glob)."""
-    r = spark.read.options(header=True, multiLine=True, escape='"', ignoreCorruptFiles="true", **options)
-    return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool = True, infer: bool = False, **options: str
+) -> DataFrame:
+    """CSV with a header, quoted texts over several lines, and '' as null (A1, A4: `path` may be a glob).
+
+    Without a schema all columns are strings; `infer` reads the files once more for their types.  A file whose texts
+    may hold line ends can't be split: `multi_line` off reads large files in parts.  Files that can't be read are
+    skipped; `files_without_rows` tells which.
+    """
+    r = spark.read.options(header=True, multiLine=multi_line, escape='"', ignoreCorruptFiles="true", **options)
+    return (r.schema(schema) if schema else r.option("inferSchema", infer)).csv(path)
+
+
+def files_without_rows(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """file of each file at `path` that gave `df`, as it was read, no row: it couldn't be read or is empty."""
+    every = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))  # contents aren't read
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return every.select(bare("file").alias("file")).join(df.select(bare("_metadata.file_path").alias("file")).distinct(), "file", "left_anti")
+
+
+def prefer_raw(df: DataFrame, file: Column, mark: str = "_sentiment_") -> DataFrame:
+    """Rows of files whose name is without the mark, if there are any, else all."""
+    x = df.withColumn("_raw", ~F.coalesce(file.contains(mark), F.lit(False))).withColumn("_one", F.lit(1))
+    some = x.groupBy("_one").agg(F.max("_raw").alias("_any"))  # one row
+    return x.join(F.broadcast(some), "_one").filter(F.col("_raw") | ~F.col("_any")).drop("_raw", "_any", "_one")
 
 
 def read_any(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
