@@ -235,6 +235,15 @@ def subjectivity_model(train: DataFrame, text: str, label: str, top: int = 1000,
     return PipelineModel([words, present, bayes.fit(present.transform(words.transform(train)))])
 
 
+def subjectivity(model, texts: DataFrame) -> DataFrame:  # noqa: ANN001
+    """texts with subjectivity_label (`subjective` for label 1) and subjectivity_prob, the label's probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = model.transform(texts)
+    p = F.array_max(vector_to_array("probability"))
+    return x.select(*texts.columns, F.when(F.col("prediction") == 1, "subjective").otherwise("objective").alias("subjectivity_label"), p.alias("subjectivity_prob"))
+
+
 def noise(df: DataFrame, key: str, text: str, level: float = 0.1, seed: int = 42) -> DataFrame:
     """int(n x level) random words of 3 to 8 letters put between the words, told by a hash of key, seed and number (D22);
     null stays null."""

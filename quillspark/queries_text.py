@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -18,6 +18,7 @@ from .plans import pipelines as P
 from .queries_tables import pid, wall_clock_iso
 from .session import saved, ship_package, spread
 from .session import table as read_table
+from .sources import io
 from .streaming import incremental as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +193,13 @@ def sentiment_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return S.sentiment(table(spark, d, "comments").select("id", "body").distinct(), "id", "body", lex, "w", "s")
 
 
+@query()
+def sentiment_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The published rules (negation, boosters, capitals, marks) over a lexicon; without SQL, tested on examples."""
+    lex = spark.createDataFrame(list(_MOOD.items()), "w string, s double")
+    return S.sentiment_rules(table(spark, d, "comments").select("id", "body"), "id", "body", lex, "w", "s")
+
+
 _KEPT = f"list_filter(list_transform({_sents('body')}, lambda x: trim(x)), lambda x: length(x) >= 6)"
 
 
@@ -212,12 +220,50 @@ def clean_texts(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", X.normalise_lines(F.col("body")).alias("lines"), F.substring("body", 1, 100).alias("preview"), X.clean_nbsp(F.col("title")).alias("title")).distinct()
 
 
-@query("""SELECT DISTINCT id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace('<p>' || body || '</p><img src="x.png">', '<img[^>]*>', ' [IMAGE] ', 'g'), '<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body
-FROM updates WHERE body IS NOT NULL AND NOT contains(body, '&') AND NOT contains(body, '<')""")
+# A page is put around each body, as the tables hold none: nested tags, a script, a frame, an image, entities.
+_PAGE = ("<div class=\"story-content rte\"><p>", "</p><script type=\"x\">var a = '<b>';</script><div><b>Rock &amp; roll</b> &lt;3&nbsp;</div><iframe src=\"v\"></iframe><img src=\"x.png\"></div>")
+_HTML = f"'{q(_PAGE[0])}' || body || '{q(_PAGE[1])}'"
+_ENTITIES = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_CUT = r"regexp_replace({}, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g')"
+_MARKED = r"regexp_replace(regexp_replace({}, '(?i)<img\b[^>]*>', ' [IMAGE] ', 'g'), '(?is)<iframe\b[^>]*>(.*?</iframe>)?', ' [EMBED] ', 'g')"
+_BARE = "regexp_replace({}, '<[^>]+>', chr(10), 'g')"
+
+
+def _page(body: str) -> Column:
+    return F.concat(F.lit(_PAGE[0]), F.col(body), F.lit(_PAGE[1]))
+
+
+@query(f"SELECT id, array_to_string(list_filter(list_transform(string_split({_ENTITIES.format(_BARE.format(_MARKED.format(_CUT.format(_HTML))))}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM updates")
 def html_body_clean(spark: SparkSession, d: str) -> DataFrame:
-    """O3: tags and images of a body."""
-    u = table(spark, d, "updates").filter(F.col("body").isNotNull() & ~F.col("body").contains("&") & ~F.col("body").contains("<"))
-    return u.select("id", X.clean_body(F.concat(F.lit("<p>"), "body", F.lit('</p><img src="x.png">'))).alias("body")).distinct()
+    """O3: scripts, tags, images, frames and entities of every body; null stays null."""
+    return table(spark, d, "updates").select("id", X.clean_body(_page("body")).alias("body"))
+
+
+@query(rf"""SELECT id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_extract({_HTML}, '(?is)<div[^>]*class="[^"]*\bstory-content\b[^"]*"[^>]*>(.*)</div>', 1), '(?is)<(script|style|iframe)\b.*?</(script|style|iframe)>', '', 'g'), '<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS story FROM updates""")
+def story_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The text of the story's div out of a page."""
+    return table(spark, d, "updates").select("id", X.story_text(_page("body")).alias("story"))
+
+
+@query(f"""WITH p AS (SELECT id, number, unnest(generate_series(1, number)) AS i FROM (SELECT DISTINCT id, number FROM updates WHERE number BETWEEN 1 AND 12)), k AS (SELECT *, row_number() OVER (PARTITION BY id, number ORDER BY i DESC) AS left_ FROM p WHERE NOT (number % 2 = 0 AND i % 3 = 0))
+SELECT id, CAST(i - 1 AS INTEGER) AS pos, i * 10.5::DOUBLE AS funds_raised, 100.0::DOUBLE AS goal, CASE WHEN number % 2 = 0 THEN CAST(i AS DOUBLE) ELSE 0.0::DOUBLE END AS trend FROM k WHERE number % 2 = 1 OR left_ > 2""")
+def funding_chart(spark: SparkSession, d: str) -> DataFrame:
+    """Charts of JSON rows (made of the updates' numbers), seven columns while they run."""
+    u = table(spark, d, "updates").filter(F.col("number").between(1, 12)).select("id", "number").distinct()
+    on = F.col("number") % 2 == 0
+    short = lambda i: F.array(F.lit("2024-01-01"), (i * F.lit(10.5)).cast("string"), F.lit("100"))
+    long = lambda i: F.concat(short(i), F.array(i.cast("string"), F.lit("1"), F.lit("x"), F.when(i % 3 == 0, "Trending: up").otherwise("Raised")))
+    c = u.select(F.struct("id", "number").alias("id"), on.alias("on"), F.to_json(F.transform(F.sequence(F.lit(1), F.col("number")), lambda i: F.when(on, long(i)).otherwise(short(i)))).alias("chart"))
+    return io.funding_progress(c, "id", "chart", F.col("on")).select("id.id", "pos", "funds_raised", "goal", "trend")
+
+
+@query(f"SELECT doc_id, CASE WHEN len({_words('text')}) > 0 THEN round(1.0::DOUBLE - ({_ISSUES})::DOUBLE / len({_words('text')}), 9) END AS with_checker, round({_quality('text')}, 9) AS without_checker, round({_quality('text')}, 9) AS asked_simple FROM documents")
+def quality_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """The grammar's quality, or the simple one where no checker is at hand or if asked."""
+    t = F.col("text")
+    return table(spark, d, "documents").select(
+        "doc_id", F.round(X.text_quality(t, X.issue_count(t)), 9).alias("with_checker"), F.round(X.text_quality(t), 9).alias("without_checker"), F.round(X.text_quality(t, X.issue_count(t), use_simple=True), 9).alias("asked_simple"),
+    )
 
 
 @query(f"""SELECT last_day(o_orderdate) AS month, CAST(count(*) AS BIGINT) AS n, round(avg({_quality('text')}), 6) AS mean FROM documents JOIN orders ON doc_id = o_orderkey GROUP BY 1""")
@@ -256,6 +302,18 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return L.sessions(e, "user_id", ["ts", "event_id"]).withColumn("state", L.state())
 
 
+_SAID = "CASE event_type WHEN 'signup' THEN concat('[PROJECT_START] Processing project ', user_id) WHEN 'purchase' THEN concat('[PROJECT_END] Finished it. Status=', CASE WHEN event_id % 2 = 0 THEN 'Success' ELSE 'Failed' END) WHEN 'click' THEN concat('Sleeping for ', CAST(floor(value) AS BIGINT), ' seconds') WHEN 'error' THEN concat('[ERROR] no answer ', event_id) ELSE CASE WHEN event_id % 3 = 0 THEN concat('[METRIC] it: Fetched ', event_id, ' comments') WHEN event_id % 3 = 1 THEN 'Resetting scraper session' ELSE 'nothing to tell' END END"
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS ts, CASE event_type WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'END' WHEN 'click' THEN 'SLEEP' WHEN 'error' THEN 'ERROR' ELSE CASE WHEN event_id % 3 = 0 THEN 'METRIC' ELSE 'RESET' END END AS kind,
+ CASE event_type WHEN 'signup' THEN CAST(user_id AS VARCHAR) WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'Success' ELSE 'Failed' END WHEN 'click' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) WHEN 'error' THEN 'no answer ' || event_id ELSE CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END END AS detail
+FROM events WHERE NOT (event_type = 'view' AND event_id % 3 = 2)""")
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a log (made of the events) as typed events; lines of no kind are dropped."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 - INFO - "), F.expr(_SAID)).alias("value"))
+    return L.typed_events(e).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "detail")
+
+
 @query(f"WITH {_LOG} SELECT user_id, session, CAST(sleeps AS BIGINT) AS sleeps, CAST(errors AS BIGINT) AS errors, round(metric, 4) AS metric, was_reset, status, round(total_sleep, 4) AS total_sleep, longest_sleep, start_ts, end_ts, state FROM st")
 def log_sessions(spark: SparkSession, d: str) -> DataFrame:
     """L1-L4: sessions of a log and their states."""
@@ -336,28 +394,59 @@ def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(S.calibrated(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"), 1.5), 9).alias("p"))
 
 
-@query()
+_LOGITS = "(SELECT 8 * CAST(embedding[1] AS DOUBLE) AS z0, 8 * CAST(embedding[2] AS DOUBLE) AS z1, embedding[2] + embedding[3] / 4 > embedding[1] AS y FROM embeddings)"
+
+
+@query(f"""WITH g AS (SELECT i / 1000.0::DOUBLE AS t FROM (SELECT unnest(generate_series(50, 20000)) AS i)), e AS (SELECT CASE WHEN y THEN z0 - z1 ELSE z1 - z0 END AS m FROM {_LOGITS}),
+ l AS (SELECT t, avg(greatest(m / t, 0) + ln(1 + exp(-abs(m / t)))) AS loss FROM e, g GROUP BY t) SELECT round(arg_min(t, loss), 2) AS temperature FROM l""")
 def fitted_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """The temperature of least cross entropy; iterative, so without SQL."""
+    """The temperature of least cross entropy."""
     e = table(spark, d, "embeddings").select((F.col("embedding")[0] * 8).alias("z0"), (F.col("embedding")[1] * 8).alias("z1"), (F.col("embedding")[1] + F.col("embedding")[2] / 4 > F.col("embedding")[0]).cast("int").alias("y"))
     e = saved(e.withColumns({c: F.col(c).cast("double") for c in ("z0", "z1")}))
-    return spark.createDataFrame([(round(S.fit_temperature(e, "z0", "z1", "y"), 6),)], "temperature double")
+    return spark.createDataFrame([(round(S.fit_temperature(e, "z0", "z1", "y"), 2),)], "temperature double")
 
 
-@query()
+_LETTERS = r"[^\p{L}'']+"
+_SPLIT = lambda t: f"list_filter(regexp_split_to_array(lower({t}), '{_LETTERS}'), lambda x: x <> '')"
+_NB = f"""train AS (SELECT row_number() OVER () AS r, {_SPLIT('t')} AS w, y FROM (SELECT title AS t, 0 AS y FROM updates WHERE title IS NOT NULL UNION ALL SELECT body, 1 FROM updates WHERE body IS NOT NULL)),
+ v AS (SELECT w FROM (SELECT unnest(w) AS w FROM train) GROUP BY w ORDER BY count(*) DESC, w LIMIT 1000), k AS (SELECT y, count(*)::DOUBLE AS n FROM train GROUP BY y), c AS (SELECT y, w, count(DISTINCT r)::DOUBLE AS n FROM (SELECT r, y, unnest(w) AS w FROM train) GROUP BY 1, 2),
+ p AS (SELECT v.w, k.y, (coalesce(c.n, 0) + 0.5::DOUBLE) / (k.n + 1) AS p FROM v CROSS JOIN k LEFT JOIN c ON c.w = v.w AND c.y = k.y), base AS (SELECT p.y, sum(ln(1 - p)) + max(ln(k.n + 0.5::DOUBLE) - ln((SELECT sum(n) FROM k) + 1)) AS b FROM p JOIN k ON p.y = k.y GROUP BY p.y),
+ one AS (SELECT w, max(ln(p) - ln(1 - p)) FILTER (y = 0) AS a0, max(ln(p) - ln(1 - p)) FILTER (y = 1) AS a1 FROM p GROUP BY w), d AS (SELECT row_number() OVER () AS r, id, {_alpha("coalesce(body, '')")} AS t, list_distinct({_SPLIT("coalesce(body, '')")}) AS w FROM comments),
+ h AS (SELECT r, sum(a0) AS s0, sum(a1) AS s1 FROM (SELECT r, unnest(w) AS w FROM d) JOIN one USING (w) GROUP BY r), z AS (SELECT id, r, coalesce(s1, 0) + (SELECT b FROM base WHERE y = 1) - coalesce(s0, 0) - (SELECT b FROM base WHERE y = 0) AS z FROM d LEFT JOIN h USING (r))"""
+_LABEL = "CASE WHEN z > 0 THEN 'subjective' ELSE 'objective' END AS subjectivity_label, round(1 / (1 + exp(-abs(z))), 6) AS subjectivity_prob"
+
+
+@query(f"WITH {_NB} SELECT id, {_LABEL} FROM z")
 def subjectivity(spark: SparkSession, d: str) -> DataFrame:
-    """Naive Bayes trained on titles against bodies of updates, applied to comments; without SQL."""
+    """Naive Bayes trained on titles against bodies of updates, applied to comments: label and its probability."""
+    return _subjectivity(spark, d).select("id", "subjectivity_label", F.round("subjectivity_prob", 6).alias("subjectivity_prob"))
+
+
+def _subjectivity(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "updates")
     train = u.select(F.col("title").alias("body"), F.lit(0.0).alias("y")).unionByName(u.select("body", F.lit(1.0).alias("y")))
-    model = S.subjectivity_model(train, "body", "y")
     c = table(spark, d, "comments").select("id", F.coalesce("body", F.lit("")).alias("body"))
-    return model.transform(c).select("id", F.col("prediction").cast("int").alias("label"))
+    return S.subjectivity(S.subjectivity_model(train, "body", "y"), c)
 
 
-@query()
+@query(f"""WITH {_NB}, m AS (SELECT r, sum(coalesce(s, 0)) AS s, sum(CASE WHEN s > 0 THEN s + 1 ELSE 0 END) AS p, sum(CASE WHEN s < 0 THEN 1 - s ELSE 0 END) AS n, count_if(coalesce(s, 0) = 0)::DOUBLE AS u FROM (SELECT r, unnest(t) AS w FROM d) LEFT JOIN {_MOODS} USING (w) GROUP BY r)
+SELECT id, {_LABEL}, round(coalesce(n / nullif(p + n + u, 0), 0), 6) AS neg, round(coalesce(u / nullif(p + n + u, 0), 0), 6) AS neu, round(coalesce(p / nullif(p + n + u, 0), 0), 6) AS pos, round(coalesce(s / sqrt(s * s + 15), 0), 6) AS compound FROM z LEFT JOIN m USING (r)""")
+def analyzed_comments(spark: SparkSession, d: str) -> DataFrame:
+    """The six fields of each comment: label and probability, neg, neu, pos, compound."""
+    lex = spark.createDataFrame(list(_MOOD.items()), "w string, s double")
+    row = F.struct("id", "subjectivity_label", F.round("subjectivity_prob", 6).alias("subjectivity_prob")).alias("row")
+    return S.sentiment(_subjectivity(spark, d).select(row, "body"), "row", "body", lex, "w", "s").select("row.*", "neg", "neu", "pos", "compound")
+
+
+_NOISE = "md5(concat_ws(':', CAST(doc_id AS VARCHAR), '42', CAST(i AS VARCHAR)))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, {_words('text')} AS w FROM documents), o AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1)::DOUBLE AS pos FROM t), x AS (SELECT doc_id, n, {_NOISE} AS h FROM (SELECT doc_id, len(w) AS n, unnest(generate_series(1, CAST(floor(len(w) * 0.1::DOUBLE) AS BIGINT))) AS i FROM t WHERE len(w) >= 10)),
+ a AS (SELECT doc_id, pos, w FROM o UNION ALL SELECT doc_id, CAST(('0x' || substr(h, 1, 12)) AS BIGINT) % (n + 1) + 0.5::DOUBLE, translate(substr(h, 17, CAST(CAST(('0x' || substr(h, 13, 4)) AS BIGINT) % 6 + 3 AS INTEGER)), '0123456789abcdef', 'abcdefghijklmnop') FROM x),
+ j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos, w) AS text FROM a GROUP BY 1) SELECT t.doc_id, md5(CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(j.text, '') END) AS noisy_md5 FROM t LEFT JOIN j USING (doc_id)""")
 def noisy_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with words put in by a hash; without SQL."""
-    return S.noise(table(spark, d, "documents").select("doc_id", "text").filter("text is not null"), "doc_id", "text")
+    """Texts with words put in by a hash (as md5 of the whole text)."""
+    return S.noise(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", F.md5("text").alias("noisy_md5"))
 
 
 # ---- econometrics (N): documents as texts, orders as outcomes
