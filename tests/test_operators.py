@@ -14,7 +14,8 @@ from quillspark.operators import evaluation as V
 from quillspark.operators import eventlog as L
 from quillspark.operators import scoring as S
 from quillspark.operators import tables as B
-from quillspark.queries_tables import QUERIES, wall_clock_iso
+from quillspark.queries_data import QUERIES as QUERIES_DATA
+from quillspark.queries_tables import wall_clock_iso
 from quillspark.queries_text import QUERIES as QUERIES_TEXT
 from quillspark.sources import io
 from quillspark.streaming import incremental as I
@@ -191,7 +192,9 @@ def test_temperature(spark):
     z = rng.normal(size=4000) * 2
     y = rng.random(4000) < 1 / (1 + np.exp(-z))
     df = spark.createDataFrame([(0.0, float(a * 3), int(b)) for a, b in zip(z, y)], "z0 double, z1 double, y int").cache()
-    assert S.fit_temperature(df, "z0", "z1", "y", steps=20) == pytest.approx(3.0, rel=0.12)
+    assert S.fit_temperature(df, "z0", "z1", "y") == pytest.approx(3.0, rel=0.12)
+    with pytest.raises(ValueError):
+        S.fit_temperature(df.limit(0), "z0", "z1", "y")
 
 
 def test_files(spark, tmp_path):
@@ -269,13 +272,6 @@ def test_months_and_batches(spark):
     assert math.isclose(one(spark, None, B.log_floor(F.col("x"), True), "double"), 0.0) and one(spark, None, B.log_floor(F.col("x")), "double") is None
 
 
-def test_union_keeps_the_amounts(spark, data):
-    got = QUERIES["standardize_union_amounts"](spark, f"{data}/sf0.001").select("platform", "pledged_amount", "goal_amount")
-    want = spark.read.parquet(f"{data}/sf0.001/combined_all_columns.parquet").filter("platform in ('Kickstarter', 'Indiegogo')").select("platform", "pledged", "goal")
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
-    assert dict(got.dtypes)["goal_amount"] == "double"
-
-
 def test_mediation_before_and_after_apart(spark, data):
     got = QUERIES_TEXT["mediation_bootstrap"](spark, f"{data}/sf0.01").collect()
     assert sorted(r["post"] for r in got) == [0, 1]
@@ -309,5 +305,142 @@ def test_preparation_time_of_every_row(spark, tmp_path):
     ]
     spark.createDataFrame(rows, "row_id long, source_url string, created_at string, launched_at long").write.parquet(f"{tmp_path}/combined_all_columns.parquet")
     spark.createDataFrame([("s", "Asia/Tokyo", True)], "source_url string, time_zone string, day_first boolean").write.parquet(f"{tmp_path}/crawl_sources.parquet")
-    got = {r["row_id"]: r["preparation_days"] for r in QUERIES["preparation_time_all"](spark, str(tmp_path)).collect()}
+    got = {r["row_id"]: r["preparation_days"] for r in QUERIES_DATA["preparation_time"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: None, 6: None, 7: None, 8: None, 9: -2, 10: 0}
+
+
+def hot(spark, n=3000):
+    """Rows of which a third has one key, with ties, nulls and repeats."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 31 == 0 else f"k{rng.integers(0, 40)}", float(rng.integers(0, 50)) if i % 7 else None) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "i long, k string, v double").withColumn("_h", F.lit("clash")).drop("_h")
+
+
+def test_ranks_quantiles_and_splits_with_a_hot_key(spark):
+    rows, df = hot(spark)
+    v = np.array([r[2] for r in rows if r[2] is not None])
+    q = B.quantiles(df, F.col("v"), [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).first()
+    assert q["n"] == len(v) and np.allclose([q[f"q{i}"] for i in range(6)], np.quantile(v, [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]))
+    one = B.quantiles(df.withColumn("v", F.lit(4.0)), F.col("v"), [0.5]).first()
+    assert one["q0"] == 4.0 and B.quantiles(df.limit(0), F.col("v"), [0.5]).first()[:] == (0, None)
+    assert B.describe(df.limit(0), "v").first()["n"] == 0
+    split = B.split_sample(df, "i", "k").collect()
+    by = {}
+    for r in split:
+        by.setdefault(r["k"], []).append(r["part"])
+    assert len(split) == len(rows) and all(p.count("train") == int(len(p) * 0.8) for p in by.values()) and None in by
+    assert {r["i"]: r["part"] for r in split} == {r["i"]: r["part"] for r in B.split_sample(df.repartition(5), "i", "k").collect()}
+    place = {r["i"]: r["place"] for r in B.shuffled(df, "i").collect()}
+    assert sorted(place.values()) == list(range(1, len(rows) + 1)) and place != {r["i"]: r["place"] for r in B.shuffled(df, "i", 7).collect()}
+    kept = {r["i"] for r in B.without_last(df, ["k"], [F.col("i")], "i", 2).collect()}
+    for k in {r[1] for r in rows}:
+        own = sorted(r[0] for r in rows if r[1] == k)
+        assert kept & set(own) == set(own[:-2])
+    first = {r["k"]: r["i"] for r in B.first_by(df, ["k"], [F.col("v"), F.col("i")]).collect()}
+    for k in {r[1] for r in rows}:
+        assert first[k] == min((r for r in rows if r[1] == k), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))[0]
+
+
+def test_groups_are_limited_before_they_are_moved(spark):
+    _, df = hot(spark, 30)
+    plan = B.first_by(df, ["k"], [F.col("i")])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_one_log_is_cut_into_spans(spark, monkeypatch):
+    monkeypatch.setattr(L, "SPAN", 7)
+    rng = np.random.default_rng(8)
+    rows = [("log", i, str(rng.choice(["CLEAN", "SOFT_BLOCK", "FAILED"], p=[0.6, 0.3, 0.1])), int(rng.random() < 0.2)) for i in range(1, 200)]
+    s = spark.createDataFrame(rows, "log string, session long, state string, was_reset int")
+    got = sorted((r["run"], r["state"], r["n"]) for r in L.run_chart(s, "log").collect())
+    want, last = [], None
+    for _, _, state, _ in rows:
+        if state != last:
+            want.append([len(want) + 1, state, 0])
+        want[-1][2] += 1
+        last = state
+    assert got == [tuple(w) for w in want]
+    e = L.reset_efficacy(s, "log").first()
+    resets = [i for i, r in enumerate(rows) if r[3]]
+    worked = sum(bool(rows[i + 1 : i + 6]) and all(r[2] != "FAILED" for r in rows[i + 1 : i + 6]) for i in resets)
+    assert (e["resets"], e["worked"]) == (len(resets), worked)
+    assert L.run_chart(s.limit(0), "log").count() == 0
+
+
+def test_lexicon_looked_up_or_joined_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Good day, bad night, good end"), (1, "bad"), (None, "good"), (2, None), (3, ""), (4, "word " * 30000)], "k int, text string")
+    lex = spark.createDataFrame([("good", 2.0), ("bad", -1.0), ("Bad", -3.0), ("word", 0.0), (None, 1.0), ("x", None)], "w string, s double")
+    run = lambda: (sorted(map(repr, S.lexicon_mean(df, "k", "text", lex, "w", "s").collect())), sorted(map(repr, S.sentiment(df, "k", "text", lex, "w", "s").collect())))
+    small = run()
+    monkeypatch.setattr(S, "SMALL_LEXICON", 1)
+    assert small == run() and len(small[0]) == 6  # a row a row: keys that repeat or are null keep apart
+    with pytest.raises(ValueError):
+        S.sentiment_rules(df, "k", "text", lex, "w", "s")
+
+
+def test_sentiment_rules(spark):
+    words = {"good": 1.9, "great": 3.1, "bad": -2.5, "love": 3.2}
+    c = lambda t: S.rule_sentiment(t, words)[3]
+    assert c("It is good") == pytest.approx(1.9 / (1.9**2 + 15) ** 0.5) and c("") == c(None) == c("a lamp") == 0.0
+    assert c("It is very good") > c("It is good") > c("It is slightly good") > 0 > c("It is not good")
+    assert c("It is GOOD today") > c("It is good today") and c("It is good!!!") > c("It is good!") > c("It is good")
+    assert c("It is great, but the box is bad") < 0 and c("I don't love it") < 0
+    for t in ("It is good", "bad lamp?? really", "not bad but good!"):
+        neg, neu, pos, comp = S.rule_sentiment(t, words)
+        assert neg + neu + pos == pytest.approx(1) and -1 <= comp <= 1
+    lex = spark.createDataFrame(list(words.items()), "w string, s double")
+    got = S.sentiment_rules(spark.createDataFrame([(1, "It is good"), (1, None)], "k int, text string"), "k", "text", lex, "w", "s").collect()
+    assert sorted(r["compound"] for r in got) == [0.0, round(1.9 / (1.9**2 + 15) ** 0.5, 6)]
+
+
+def test_sentences_by_expression_and_by_model(spark):
+    df = spark.createDataFrame([(1, "One two three. Four five! x"), (1, "Six seven eight."), (None, None), (2, " ")], "k int, text string")
+    a = S.sentence_scores(df, "k", "text", lambda c: F.length(c) * 1.0)
+    b = S.sentence_model_scores(df, "k", "text", lambda: lambda texts: [float(len(t)) for t in texts], batch=2)
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() == 4
+
+
+def test_repeated_sentences_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    texts = [". ".join(" ".join(rng.choice(list("abcdefghijkl"), rng.integers(1, 9))) for _ in range(n)) + ". " for n in (1, 2, 30, 120)] + [None, "", "a b. a b. c d. "]
+    got = {r["i"]: r["r"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.repetition(F.col("t")).alias("r")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        sets = [set(s.replace(".", " ").split()) for s in t.split(". ") if s.strip()]
+        like = sum(bool(a | b) and len(a & b) > 0.5 * len(a | b) for j, a in enumerate(sets) for b in sets[j + 1 :])
+        assert got[i] == pytest.approx(like / len(sets) if len(sets) > 1 else 0.0)
+
+
+def test_files_that_give_no_row_and_raw_files_first(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,2\n")
+    (tmp_path / "b.csv").write_text("id,v\n")
+    df = io.read_csv(spark, f"{tmp_path}/*.csv", "id string, v string")
+    assert [r["file"].rsplit("/", 1)[1] for r in io.files_without_rows(spark, f"{tmp_path}/*.csv", df).collect()] == ["b.csv"]
+    assert dict(io.read_csv(spark, f"{tmp_path}/*.csv").dtypes) == {"id": "string", "v": "string"} and dict(io.read_csv(spark, f"{tmp_path}/*.csv", infer=True).dtypes)["v"] == "int"
+    rows = spark.createDataFrame([(1, "x_sentiment_.csv"), (2, "x.csv"), (3, None)], "i int, f string")
+    assert sorted(r["i"] for r in io.prefer_raw(rows, F.col("f")).collect()) == [2, 3]
+    assert [r["i"] for r in io.prefer_raw(rows.filter("i = 1"), F.col("f")).collect()] == [1] and io.prefer_raw(rows.limit(0), F.col("f")).count() == 0
+
+
+def test_quality_falls_back(spark):
+    t = "We we made it,and it is is good ."
+    df = spark.createDataFrame([(t,)], "t string")
+    c = F.col("t")
+    r = df.select(X.text_quality(c, X.issue_count(c)).alias("a"), X.grammar_quality(c).alias("b"), X.text_quality(c).alias("c"), X.simple_quality(c).alias("d"), X.text_quality(c, X.issue_count(c), use_simple=True).alias("e")).first()
+    assert r["a"] == r["b"] and r["c"] == r["d"] == r["e"]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quillspark.session import ensure_checkpoint_dir, parts_of
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, v=None: v), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
+    cluster.sparkContext.master = "local-cluster[3,2,1024]"
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
+    assert parts_of(spark.range(10), 4) == 3 and parts_of(spark.range(0), 4) == 1
