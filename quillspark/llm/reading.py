@@ -8,14 +8,16 @@ against the raters' levels.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import ENDS, WORD, is_sentence, sentences, units, weight
+from .units import ENDS, is_sentence, sentences, units, weight, words_of
 
 LEVELS = 5
 BITS = 14
@@ -48,16 +50,17 @@ class SentenceModel:
 
     def rows(self, words: list[str]) -> list[int]:
         """The words' rows in the table of scores; new words are scored and added."""
-        get, out = self.index.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = self.index[w] = len(self.index)
-                if i == len(self.table):
-                    self.table = np.vstack([self.table, np.zeros_like(self.table)])
-                f = word_features(w)
-                self.table[i] = self.weights[f].sum(axis=0) / np.float32(np.sqrt(len(f)))
-            out.append(i)
+        get = self.index.get
+        out = list(map(get, words))
+        if None in out:
+            for w in words:
+                if get(w) is None:
+                    i = self.index[w] = len(self.index)
+                    if i == len(self.table):
+                        self.table = np.vstack([self.table, np.zeros_like(self.table)])
+                    f = word_features(w)
+                    self.table[i] = self.weights[f].sum(axis=0) / np.float32(np.sqrt(len(f)))
+            out = list(map(get, words))
         return out
 
     def levels(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,22 +68,24 @@ class SentenceModel:
         if len(self.index) > WORDS_KEPT:
             self.forget()
         n = np.array([len(x) for x in sents])
-        flat = np.array(self.rows([w for x in sents for w in x]))
+        flat = np.array(self.rows(list(chain.from_iterable(sents))))
         z = np.add.reduceat(self.table[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None] + self.bias
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True), n
 
-    def fit(self, sents: list[list[str]], target: np.ndarray, ridge: float = 1e-4, epochs: int = 30, rate: float = 2.0) -> "SentenceModel":
-        """Full-batch gradient steps with momentum by AdaGrad scaling; `target` has a row of level shares a sentence."""
-        index: dict[str, int] = {}
-        rows, cols, vals = [], [], []
-        for i, s in enumerate(sents):
-            for w in s:
-                rows.append(i)
-                cols.append(index.setdefault(w, len(index)))
-                vals.append(1.0 / len(s))
-        rows, cols, vals = np.array(rows), np.array(cols), np.array(vals, dtype=np.float32)
-        wf = [word_features(w) for w in index]
+    def fit(self, sents: list[list[str]], target: np.ndarray, ridge: float = 1e-4, epochs: int = 30, rate: float = 2.0, seen: dict[str, list[int]] | None = None) -> "SentenceModel":
+        """Full-batch gradient steps with AdaGrad scaling; `target` has a row of level shares a sentence, `seen` keeps
+        words' features from fit to fit."""
+        words = list(chain.from_iterable(sents))
+        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        n = np.array([len(s) for s in sents], dtype=np.int64)
+        rows, vals = np.repeat(np.arange(len(sents)), n), np.repeat(1.0 / np.maximum(n, 1), n).astype(np.float32)
+        cols = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        seen = {} if seen is None else seen
+        for w in index:
+            if w not in seen:
+                seen[w] = word_features(w)
+        wf = [seen[w] for w in index]
         fr = np.repeat(np.arange(len(wf)), [len(f) for f in wf])
         fc = np.concatenate([np.array(f) for f in wf]) if wf else np.zeros(0, int)
         fv = np.repeat([1 / np.sqrt(len(f)) for f in wf], [len(f) for f in wf]).astype(np.float32)
@@ -137,22 +142,23 @@ def _clause(s: str, words: list[str], every: frozenset[str]) -> bool:
 
 def english_sentences(text: str, common: dict[str, frozenset[str]], every: frozenset[str]) -> tuple[list[list[str]], float, bool]:
     """The words of each sentence, the share of the text in sentences, and whether the text is English."""
-    us = units(text)
-    out, inside, total = [], 0, 0
-    hits = dict.fromkeys(common, 0)
-    letters = 0
-    for u, _ in us:
+    out, inside, total, letters = [], 0, 0, 0
+    known: list[str] = []
+    for u, _ in units(text):
         total += weight(u)
         for s in sentences(u):
-            own = WORD.findall(s)
-            words = [w.lower() for w in own]
+            own = words_of(s)
+            if not own:
+                continue
+            words = " ".join(own).lower().split(" ")  # words hold no blanks
             letters += len(words)
             shared = [w for w in words if w in every]
-            for k, v in common.items():
-                hits[k] += sum([w in v for w in shared])
-            if words and (is_sentence(s, every, own, len(shared)) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every)):
+            known += shared
+            if is_sentence(s, every, own, len(shared)) or ENDS.search(s) and sum(map(len, words)) > 0.5 * len(s) or _clause(s, words, every):
                 out.append(words)
                 inside += weight(s)
+    counts = Counter(known)
+    hits = {k: sum([n for w, n in counts.items() if w in v]) for k, v in common.items()}
     best = max(hits, key=lambda k: (hits[k], k == "en")) if hits else "en"
     return out, inside / max(1, total), best == "en" and hits.get("en", 0) > 0.05 * letters
 
@@ -179,10 +185,12 @@ def train(labelled: list[tuple[str, np.ndarray]], common: dict[str, frozenset[st
     docs = [(english_sentences(t, common, every)[0], y) for t, y in labelled]
     docs = [(s, y) for s, y in docs if s]
 
+    seen: dict[str, list[int]] = {}
+
     def model(part: list) -> SentenceModel:
         sents = [x for s, _ in part for x in s]
         target = np.array([y for s, y in part for _ in s]).reshape(-1, LEVELS)
-        return SentenceModel().fit(sents, target) if sents else SentenceModel()
+        return SentenceModel().fit(sents, target, seen=seen) if sents else SentenceModel()
 
     means, tops, ys = [], [], []
     for f in range(folds):
@@ -236,8 +244,7 @@ def reading_levels(
         c.w = shared.value[2]
         for batch in batches:
             english, share, docs, scored = [], [], [], []
-            for s in batch.column(1):
-                t = s.as_py()
+            for t in batch.column(1).to_pylist():
                 sents, part, en = english_sentences(t, common, every) if t and not t.isspace() else ([], None, None)
                 ok = bool(fitted and en and sents and part >= prose)
                 english.append(en), share.append(part), scored.append(ok), docs.append(sents if ok else [])

@@ -8,6 +8,7 @@ covariance are robust (concentration steps on the half of them nearest to the ce
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import saved
-from .units import CJK, ENDS, WORD, cjk_count, is_sentence, sentences, units, weight
+from .units import CJK, ENDS, cjk_count, is_sentence, sentences, units, weight, words_of
 
 STATS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_end_share", "common_word_share", "distinct_word_share", "words_per_sentence", "sentence_share"]
 LANGS = ["en", "de", "fr", "es", "ja"]
@@ -50,8 +51,8 @@ def document_stats(text: str, common: dict[str, frozenset[str]], every: frozense
         if ENDS.search(u):
             punct += size
         for s in sentences(u):
-            w = CJK.findall(s) if cjk_count(s) * 2 > len(s) else WORD.findall(s)
-            low = [x.lower() for x in w]
+            w = CJK.findall(s) if cjk_count(s) * 2 > len(s) else words_of(s)
+            low = " ".join(w).lower().split(" ") if w else []  # words hold no blanks
             near = [x for x in low if x in every]
             lower += low
             shared += near
@@ -61,7 +62,8 @@ def document_stats(text: str, common: dict[str, frozenset[str]], every: frozense
                 n_sent += 1
                 sent_words += len(w)
     n = len(lower)
-    hits = {k: sum([w in v for w in shared]) for k, v in common.items()}
+    counts = Counter(shared)
+    hits = {k: sum([c for w, c in counts.items() if w in v]) for k, v in common.items()}
     if n and not text.isascii() and sum(1 for w in lower if len(w) == 1 and CJK.match(w)) * 2 > n:
         lang, known = "ja", sum(1 for w in lower if "ぁ" <= w <= "ん")
     else:

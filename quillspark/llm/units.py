@@ -9,7 +9,7 @@ LIST_MARK = re.compile(r"^(?:[-–—*•·‣+✔✓□☐☑→▪◦»>●○
 SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[」』\"”）]*\s*")
 ENDS = re.compile(r"[.!?。！？…][\"'”’»)\]」』）]*$")
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-SPACE = re.compile(r"\s+")
+_PLAIN_WORD = re.compile(r"[A-Za-z]+(?:['\-][A-Za-z]+)*")  # the same for ASCII
 HIRAGANA = re.compile(r"[ぁ-ん]")
 CJK = re.compile(r"[ぁ-んァ-ヶー一-龥々]")
 
@@ -32,7 +32,7 @@ def units(text: str, notes: bool = False) -> list[tuple[str, bool]]:
         open_par.clear()
 
     for line in text.replace("\r", "\n").split("\n"):
-        s = SPACE.sub(" ", line).strip()
+        s = " ".join(line.split())
         if not s:
             close()
         elif LIST_MARK.match(s):
@@ -48,6 +48,10 @@ def sentences(unit: str) -> list[str]:
     return [s for s in SPLIT.split(unit) if s and s.strip()]
 
 
+def words_of(s: str) -> list[str]:
+    return _PLAIN_WORD.findall(s) if s.isascii() else WORD.findall(s)
+
+
 def cjk_count(s: str) -> int:
     return 0 if s.isascii() else len(CJK.findall(s))
 
@@ -56,10 +60,10 @@ def is_sentence(s: str, common: frozenset[str], words: list[str] | None = None,
     """Whether a piece of text reads as a sentence: it ends as one (or is a long clause), is made of words, and
     has some, but not only, common words."""
     n = len(s)
-    cjk = cjk_count(s)
+    cjk = 0 if s.isascii() else len(CJK.findall(s))
     if cjk * 2 > n:
         return cjk >= 5 and len(HIRAGANA.findall(s)) * 8 >= cjk and (s[-1] in "。！？" or cjk >= 12)
-    words = WORD.findall(s) if words is None else words
+    words = words_of(s) if words is None else words
     if len(words) < 3 or sum(map(len, words)) * 2 < n - s.count(" "):
         return False
     known = sum(1 for w in words if w.lower() in common) if known is None else known
@@ -77,4 +81,4 @@ def is_sentence(s: str, common: frozenset[str], words: list[str] | None = None,
 
 def weight(s: str) -> int:
     """Characters without blanks; a Japanese one counts twice, as it is worth about two letters."""
-    return len(s) - s.count(" ") + cjk_count(s)
+    return len(s) - s.count(" ") + (0 if s.isascii() else len(CJK.findall(s)))
