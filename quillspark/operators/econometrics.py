@@ -276,18 +276,44 @@ def verdict(p: float, alpha: float = 0.05) -> str:
     return "undecided" if math.isnan(p) else "changed" if p < alpha else "no change found"
 
 
-def mediation(df: DataFrame, treat: str, mediator: str, outcome: str, controls: list[str], key: str, draws: int = 200, seed: int = 2025) -> DataFrame:
-    """acme (a x b), ade, total, and for acme the bootstrap's 95 % limits and p.
+def paths_compared(df: DataFrame, treat: str, mediator: str, outcome: str, controls: str, flags: tuple[str, str]) -> DataFrame:
+    """Paths a (treatment to mediator) and b (mediator to outcome) of two samples, each told by a 0/1 column (N5, N7, N8):
+    path, before, p_before, after, p_after, difference, z, p_difference, finding."""
+    a, b = f"{mediator} ~ {treat} + {controls}", f"{outcome} ~ {mediator} + {treat} + {controls}"
+    fits = fit_all(df, [(f"{p}{i}", f, flag) for p, f in (("a", a), ("b", b)) for i, flag in enumerate(flags)])
+    rows = []
+    for path, term in (("a", treat), ("b", mediator)):
+        one, two = fits[f"{path}0"], fits[f"{path}1"]
+        i, j = one.names.index(term), two.names.index(term)
+        diff, z, p = slope_difference(one, two, term)
+        c0, p0, c1, p1 = float(one.coef[i]), float(one.p[i]), float(two.coef[j]), float(two.p[j])
+        finding = verdict(p) if path == "a" else "negative after" if c1 < 0 and p1 < 0.05 else "lower after" if c1 < c0 and p < 0.05 else "no change found"
+        rows.append((path, *(None if math.isnan(x) else x for x in (c0, p0, c1, p1, diff, z, p)), finding))
+    return df.sparkSession.createDataFrame(rows, "path string, before double, p_before double, after double, p_after double, difference double, z double, p_difference double, finding string")
+
+
+def mediation(
+    df: DataFrame, treat: str, mediator: str, outcome: str, controls: list[str], key: str, draws: int = 200, seed: int = 2025, factors: tuple[str, ...] = ()
+) -> DataFrame:
+    """acme (a x b), ade, total, and for acme the bootstrap's 95 % limits and p (N5, N6); `factors` are controls by level.
 
     A draw weights each row by a Poisson(1) number told by a hash of key, draw and seed, so a row has the
-    same weights wherever it is; every partition gives one weighted cross product a draw.
+    same weights wherever it is; every partition gives one weighted cross product a draw, added up by Spark.
     """
     import pandas as pd
 
     cols = [treat, mediator, outcome, *controls]
-    rows = df.na.drop(subset=cols).select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols]).alias("v"))
-    k = len(cols) + 1
+    rows = df.na.drop(subset=[*cols, *factors])
+    dummies = []
+    for f in factors:
+        got = [r[0] for r in rows.select(F.col(f).cast("string")).distinct().limit(MAX_LEVELS + 1).collect()]
+        if len(got) > MAX_LEVELS:
+            raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
+        dummies += [(F.col(f).cast("string") == v).cast("double") for v in sorted(got)[1:]]
+    rows = rows.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols], *dummies).alias("v"))
+    k = len(cols) + len(dummies) + 1
     cum = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+    upper = np.triu_indices(k)
 
     def part(batches):  # noqa: ANN001, ANN202
         total = np.zeros((draws + 1, k, k))
@@ -302,23 +328,30 @@ def mediation(df: DataFrame, treat: str, mediator: str, outcome: str, controls:
                     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                 w = np.searchsorted(cum, (x >> np.uint64(11)).astype(np.float64) / 2.0**53)
                 total[d + 1] += (v * w[:, None]).T @ v
-        yield pd.DataFrame({"d": np.repeat(np.arange(draws + 1), k * k), "c": np.tile(np.arange(k * k), draws + 1), "s": total.ravel()})
+        yield pd.DataFrame({"d": np.arange(draws + 1, dtype="int32"), "s": [m[upper] for m in total]})
 
-    got = rows.mapInPandas(part, "d int, c int, s double").groupBy("d", "c").agg(F.sum("s").alias("s")).collect()  # draws x k x k numbers
-    g = np.zeros((draws + 1, k * k))
+    def added(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"d": [g["d"].iloc[0]], "s": [np.sum(np.vstack(g["s"].to_numpy()), axis=0)]})
+
+    got = rows.mapInPandas(part, "d int, s array<double>").groupBy("d").applyInPandas(added, "d int, s array<double>").collect()  # draws x k x k / 2 numbers
+    g = np.zeros((draws + 1, k, k))
     for r in got:
-        g[r["d"], r["c"]] = r["s"]
-    idx = {c: i + 1 for i, c in enumerate(cols)}
-    ctl = [idx[c] for c in controls]
+        g[r["d"]][upper] = r["s"]
+        g[r["d"]] = np.triu(g[r["d"]]) + np.triu(g[r["d"]], 1).T
+    at = {c: i + 1 for i, c in enumerate(cols)}
+    ctl = list(range(4, k))
 
     def paths(m: np.ndarray) -> tuple[float, float]:
-        xa, xb = [0, idx[treat], *ctl], [0, idx[treat], idx[mediator], *ctl]
-        a = np.linalg.pinv(m[np.ix_(xa, xa)]) @ m[xa, idx[mediator]]
-        b = np.linalg.pinv(m[np.ix_(xb, xb)]) @ m[xb, idx[outcome]]
-        return float(a[1] * b[2]), float(b[1])
-
-    acme, ade = paths(g[0].reshape(k, k))
-    boot = np.array([paths(x.reshape(k, k))[0] for x in g[1:]])
+        size = np.sqrt(np.maximum(np.diag(m), 1e-300))
+        m = m / np.outer(size, size)  # the same scale for all, so that the pseudo-inverse drops only what is dependent
+        xa, xb = [0, at[treat], *ctl], [0, at[treat], at[mediator], *ctl]
+        a = np.linalg.pinv(m[np.ix_(xa, xa)], rcond=1e-12, hermitian=True) @ m[xa, at[mediator]]
+        b = np.linalg.pinv(m[np.ix_(xb, xb)], rcond=1e-12, hermitian=True) @ m[xb, at[outcome]]
+        back = lambda c, of, on: float(c * size[on] / size[of])
+        return back(a[1], at[treat], at[mediator]) * back(b[2], at[mediator], at[outcome]), back(b[1], at[treat], at[outcome])
+
+    acme, ade = paths(g[0])
+    boot = np.array([paths(x)[0] for x in g[1:]])
     share = float(np.mean(boot > 0)) if draws else float("nan")
     row = (acme, ade, acme + ade, float(np.quantile(boot, 0.025)), float(np.quantile(boot, 0.975)), 2 * min(share, 1 - share))
     return df.sparkSession.createDataFrame([row], "acme double, ade double, total double, low double, high double, p double")

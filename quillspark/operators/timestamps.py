@@ -8,7 +8,7 @@ intervals match (the hour that occurs twice), one matches, or none (the hour the
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
-from functools import reduce
+from functools import lru_cache, reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +34,7 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 _PARTS = "struct<y:string,m:string,d:string,h:string,mi:string,s:string,ap:string,z:string,n:boolean>"
 
 
+@lru_cache(maxsize=None)  # a few hundred zones exist; each is worked out once a process
 def zone_intervals(zone: str) -> list[tuple[int, int, int, str]]:
     """(utc_from, utc_to, offset, abbreviation) of each interval of constant offset."""
     tz = ZoneInfo(zone)
@@ -58,6 +59,7 @@ def zone_intervals(zone: str) -> list[tuple[int, int, int, str]]:
     return [*out, (start, end, *now)]
 
 
+@lru_cache(maxsize=None)
 def local_segments(zone: str) -> list[tuple[int, int, int, int]]:
     """(local_from, local_to, intervals that match, offset to use): disjoint, in order.
 

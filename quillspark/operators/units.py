@@ -83,7 +83,14 @@ _GLUE = re.compile(r"(?:\s+|[()\[\]*]|\bin\b|\bof\b)+")
 
 @lru_cache(maxsize=65536)
 def parse_unit(text: str | None) -> tuple[str, float] | None:
-    """(currency, factor) of a unit expression, or None if it isn't an amount of money.
+    """(currency, factor) of a unit expression, or None if it isn't an amount of money."""
+    u = money_unit(text)
+    return (u.money(), u.factor) if u else None
+
+
+@lru_cache(maxsize=65536)
+def money_unit(text: str | None) -> Unit | None:
+    """The unit of a unit expression, or None if it isn't an amount of money.
 
     Every character must be used.  A minor mark beside its own currency's minor name counts once.
     """
@@ -91,7 +98,7 @@ def parse_unit(text: str | None) -> tuple[str, float] | None:
         return None
     bare = text.replace(" ", " ").strip()
     if bare in CASED:
-        return CASED[bare]
+        return Unit(((CASED[bare][0], 1),), CASED[bare][1])
     s, unit, power, scaled, minor = bare.lower(), Unit(), 1, 0, False
     s = s.replace("’", "'")
     while s:
@@ -119,8 +126,7 @@ def parse_unit(text: str | None) -> tuple[str, float] | None:
             scaled += 1
         minor |= atom.factor == 0.01
         unit, power = unit.times(atom, power), 1
-    code = unit.money()
-    return (code, unit.factor) if code and scaled <= 1 else None
+    return unit if unit.money() and scaled <= 1 else None
 
 
 def _next_atom(s: str) -> str | None:
@@ -153,10 +159,15 @@ UNIT_PHRASE = _phrase()
 STATED = r"(?i)(?:\b(?:in|as|counted|given|shown|sums are|amounts?:|figures:|currency:|totals:) ?|[\[*(] ?)$"
 
 
-@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("factor", T.DoubleType())]))
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("factor", T.DoubleType()), T.StructField("offset", T.DoubleType())]))
 def _parse_units(s: pd.Series) -> pd.DataFrame:
-    got = [parse_unit(x) if x is not None else None for x in s]
-    return pd.DataFrame({"code": [g[0] if g else None for g in got], "factor": [g[1] if g else None for g in got]})
+    got = [money_unit(x) for x in s]
+    return pd.DataFrame({"code": [g.money() if g else None for g in got], "factor": [g.factor if g else None for g in got], "offset": [g.offset if g else None for g in got]})
+
+
+def canonical(value: Column, factor: Column, offset: Column) -> Column:
+    """A value in the canonical unit of its dimension: scale, then offset."""
+    return value * factor + offset
 
 
 def stated_units(text: Column) -> Column:
@@ -219,6 +230,7 @@ def amounts_in_common_unit(
             F.lit(f).alias("field_name"),
             F.col(f).alias("value"),
             F.when(F.col("_exact"), F.coalesce(scale[f], F.lit(1.0)) if f in scale else F.lit(1.0)).otherwise(F.col("_u.factor")).alias("scale_factor"),
+            F.when(F.col("_exact"), F.lit(0.0)).otherwise(F.col("_u.offset")).alias("_offset"),
             F.when(F.col("_exact"), F.when(scale[f].isNotNull(), "share").otherwise("plain") if f in scale else F.lit("plain"))
             .when(F.col("_u.code").isNull(), "nothing")
             .when(F.col("_blank"), "text")
@@ -236,5 +248,5 @@ def amounts_in_common_unit(
     return x.select(
         key, "field_name", "value", "currency_code", "scale_factor", "unit_id",
         F.when(F.col("unit_id").isNull(), "nothing").otherwise(F.col("told_by")).alias("told_by"),
-        (F.col("value") * F.col("scale_factor") * F.col("usd_per_major")).alias("usd"),
+        (canonical(F.col("value"), F.col("scale_factor"), F.col("_offset")) * F.col("usd_per_major")).alias("usd"),
     )

@@ -15,6 +15,7 @@ from .operators import scoring as S
 from .operators import tables as T
 from .operators import windows as W
 from .plans import pipelines as P
+from .queries_data import QUERIES as QUERIES_DATA
 from .queries_tables import pid, wall_clock_iso
 from .session import saved, ship_package, spread
 from .session import table as read_table
@@ -541,7 +542,7 @@ def _campaigns(spark: SparkSession, d: str) -> DataFrame:
     f = X.linguistic_features(F.col("story_content"), _STOP)
     x = X.text_arrays(x, F.col("story_content"))
     return x.select(
-        F.round(T.log_floor(F.col("pct") / 100 * F.col("g"), True), 9).alias("log_pledged_amount"), T.log_floor(F.when(F.col("g") > 0, F.col("g"))).alias("log_goal"),
+        "row_id", F.round(T.log_floor(F.col("pct") / 100 * F.col("g"), True), 9).alias("log_pledged_amount"), T.log_floor(F.when(F.col("g") > 0, F.col("g"))).alias("log_goal"),
         X.simple_quality(F.col("story_content")).alias("text_quality"), X.word_count(F.col("story_content")).alias("word_count"), F.month("t").alias("month"), F.year("t").alias("year"), "category_unified",
         (F.col("t") > F.lit("2022-11-30 00:00:00").cast("timestamp_ntz")).cast("int").alias("PostGPT"), (F.col("platform") == "Indiegogo").cast("int").alias("indiegogo"), X.ai_score(f).alias("ai_score"),
         T.success(F.col("pct"), F.col("state")).alias("success_indicator"),
@@ -562,6 +563,46 @@ def ols_table(spark: SparkSession, d: str) -> DataFrame:
     return E.coefficient_table(ols_ladder(spark, d), [n for n, _, _ in _MODELS])
 
 
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    """The campaigns with preparation_time in days, and before and after as 0/1."""
+    c = _campaigns(spark, d)
+    x = c.join(QUERIES_DATA["preparation_time"](spark, d).withColumnRenamed("preparation_days", "preparation_time"), "row_id", "left")
+    return saved(x.withColumns({"after": F.col("PostGPT"), "before": 1 - F.col("PostGPT"), "preparation_time": F.col("preparation_time").cast("double")}))
+
+
+_HELD = "log_goal + word_count + C(category_unified) + C(month) + C(year)"
+
+
+@query()
+def joint_model(spark: SparkSession, d: str) -> DataFrame:
+    """Quality by period with preparation_time and the controls, on the campaigns; without SQL."""
+    ship_package(spark)
+    return E.ladder(_prepared(spark, d), [("joint", f"log_pledged_amount ~ text_quality*PostGPT + preparation_time + {_HELD}", None)])
+
+
+@query()
+def effort_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths from effort to quality and from quality to funding before and after, and whether they changed;
+    without SQL."""
+    ship_package(spark)
+    return E.paths_compared(_prepared(spark, d), "preparation_time", "text_quality", "log_pledged_amount", _HELD, ("before", "after"))
+
+
+@query()
+def effort_mediation(spark: SparkSession, d: str) -> DataFrame:
+    """What of preparation_time goes through quality, and through ai_score in its place, before and after, with the
+    limits of 1,000 draws; without SQL."""
+    ship_package(spark)
+    x = _prepared(spark, d)
+    out = None
+    for mediator in ("text_quality", "ai_score"):
+        for p in (0, 1):
+            m = E.mediation(x.filter(F.col("PostGPT") == p), "preparation_time", mediator, "log_pledged_amount", ["log_goal", "word_count"], "row_id", draws=1000, factors=("category_unified", "month", "year"))
+            m = m.select(F.lit(mediator).alias("mediator"), F.lit(p).alias("post"), "*")
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
 # ---- windows over time and joins the study lacks (P)
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:

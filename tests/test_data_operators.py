@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.keys import project_number
 from quillspark.operators.impute import KPrototypes, fill_errors, fill_from_similar, nearest_donors
 from quillspark.operators.timestamps import local_segments, normalise_timestamps, zone_intervals
-from quillspark.operators.units import Unit, amounts_in_common_unit, parse_unit
+from quillspark.operators.units import Unit, amounts_in_common_unit, canonical, money_unit, parse_unit
 from quillspark.operators.windows import carry_last, running_count
 
 
@@ -98,6 +98,14 @@ def amounts(spark, rows):
     return {(x["row_id"], x["field_name"]): x for x in amounts_in_common_unit(df, u, r).collect()}
 
 
+def test_units_are_exponents_with_scale_and_offset(spark):
+    celsius, kelvin_per = Unit((("K", 1),), 1.0, 273.15), Unit((("K", 1),), 5 / 9, 459.67 * 5 / 9)
+    got = spark.range(1).select(canonical(F.lit(25.0), F.lit(celsius.factor), F.lit(celsius.offset)).alias("a"), canonical(F.lit(77.0), F.lit(kelvin_per.factor), F.lit(kelvin_per.offset)).alias("b")).first()
+    assert got["a"] == pytest.approx(298.15) and got["b"] == pytest.approx(298.15)
+    assert Unit((("USD", 1),)).times(Unit((("USD", 1),)), -1).dims == () and Unit((("USD", 1),)).times(Unit((("h", 1),)), -1).money() is None
+    assert money_unit("GBX").factor == 0.01 and money_unit("USD per EUR") is None and money_unit(None) is None
+
+
 def test_amounts(spark):
     nan = float("nan")
     got = amounts(spark, [

@@ -171,6 +171,25 @@ def test_mediation_is_the_same_in_other_partitions(spark):
     assert np.allclose(a[:], b[:]) and a["low"] < a["acme"] < a["high"] and abs(a["acme"] - 2) < 0.7
 
 
+def test_mediation_with_factors_and_paths(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    t, g, post = rng.normal(size=n), rng.integers(0, 3, n), rng.integers(0, 2, n)
+    m = 0.5 * t + g + rng.normal(size=n)
+    y = np.where(post == 1, -1.0, 2.0) * m + 0.3 * t - g + rng.normal(size=n) * 0.5
+    rows = [(i, float(t[i]), float(m[i]), float(y[i]), "abc"[g[i]], int(post[i]), 1 - int(post[i])) for i in range(n)] + [(n, None, 1.0, 1.0, "a", 1, 0), (n + 1, 1.0, 1.0, 1.0, None, 1, 0)]
+    df = spark.createDataFrame(rows, "i long, t double, m double, y double, g string, after int, before int")
+    got = E.mediation(df.filter("after = 0"), "t", "m", "y", [], "i", draws=100, factors=("g",)).first()
+    k = post == 0
+    x = np.column_stack([np.ones(k.sum()), t[k], g[k] == 1, g[k] == 2]).astype(float)
+    a = np.linalg.lstsq(x, m[k], rcond=None)[0][1]
+    b = np.linalg.lstsq(np.column_stack([x, m[k]]), y[k], rcond=None)[0]
+    assert got["acme"] == pytest.approx(a * b[4], rel=1e-6) and got["ade"] == pytest.approx(b[1], rel=1e-6) and got["low"] < got["acme"] < got["high"]
+    p = {r["path"]: r for r in E.paths_compared(df, "t", "m", "y", "C(g)", ("before", "after")).collect()}
+    assert p["a"]["before"] == pytest.approx(a, rel=1e-6) and p["b"]["before"] == pytest.approx(b[4], rel=1e-6)
+    assert p["b"]["finding"] == "negative after" and p["a"]["finding"] == "no change found" and p["b"]["p_difference"] < 1e-6
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(1, "Good day. Bad, bad night! x"), (2, None), (3, " ")], "k int, text string")
     make = lambda: (lambda texts: [float(len(t)) for t in texts])

@@ -48,6 +48,6 @@ def test_query_equals_sql(spark, data, duck, module, name):
     assert mine == sorted(repr(tuple(norm(r[i]) for i in at)) for r in got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["sentiment_rules", "mediation_bootstrap", "ols_ladder", "ols_table"])
+@pytest.mark.parametrize("name", ["sentiment_rules", "mediation_bootstrap", "ols_ladder", "ols_table", "joint_model", "effort_paths"])
 def test_queries_without_sql_run(spark, data, name):
     assert queries_text.QUERIES[name](spark, f"{data}/sf0.001").count() > 0
