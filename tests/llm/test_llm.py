@@ -82,8 +82,17 @@ def test_survivors_brute_force(spark):
     df = spark.createDataFrame(rows, "story_row_id long, platform string, id string, story_content string, is_throttled boolean, cloudflare_detected boolean, scraped_at timestamp_ntz, n_rows int")
     residue = {r["story_row_id"]: r["is_residue"] for r in template_residue(df).collect()}
     want = brute(rows, residue)
-    got = {(r["platform"], r["project_id"]): r["story_row_id"] for r in survivors(df).collect()}
+    found = {(r["platform"], r["project_id"]): r for r in survivors(df).collect()}
+    got = {k: r["story_row_id"] for k, r in found.items()}
     assert got == want
+    # the skyline: nobody else at least as good in all dimensions; of equal rows the smallest id; the survivor is in it
+    text = lambda t: sum(len(x) for x in {" ".join(x.split()) for x in (t or "").split("\n")})
+    dims = {r[0]: (bool(r[3] and r[3].strip() and not residue[r[0]]), r[4] is not True, text(r[3]), r[6] or dt.datetime.min) for r in rows}
+    for (platform, pid), r in found.items():
+        own = [x[0] for x in rows if x[1] == platform and (x[2] or "").strip() == str(pid)]
+        beats = lambda a, b: all(x >= y for x, y in zip(dims[a], dims[b])) and (dims[a] != dims[b] or a < b)
+        skyline = [b for b in own if not any(beats(a, b) for a in own if a != b)]
+        assert r["n_candidates"] == len(skyline) and r["story_row_id"] in skyline and r["n_rows"] == len(own)
     filled = {r["story_row_id"]: r for r in filled_survivors(df).collect()}
     assert sorted(filled) == sorted(want.values())
     by = {r[0]: r for r in rows}
