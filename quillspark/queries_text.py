@@ -16,7 +16,7 @@ from .operators import tables as T
 from .operators import windows as W
 from .plans import pipelines as P
 from .queries_data import QUERIES as QUERIES_DATA
-from .queries_tables import pid, wall_clock_iso
+from .queries_tables import _GOAL, _WALL, nn, pid, wall_clock_iso
 from .session import saved, ship_package, spread
 from .session import table as read_table
 from .sources import io
@@ -34,11 +34,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(df) if name in ("documents", "updates", "comments", "combined_all_columns") else df
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, queries: dict = QUERIES, sqls: dict = SQL) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            sqls[f.__name__] = sql
         return f
 
     return add
@@ -557,6 +557,36 @@ def ols_ladder(spark: SparkSession, d: str) -> DataFrame:
     return E.ladder(saved(_campaigns(spark, d)), _MODELS)
 
 
+_CAMPAIGNS = f"""c AS ({_GOAL.replace("state FROM", f"state, {_WALL} AS t, story_content FROM")} WHERE currency = 'USD' AND {nn('pledged')} > 0 AND story_content IS NOT NULL),
+ x AS (SELECT round(ln(greatest(coalesce(pct / 100 * goal, 0), 1)), 9) AS y, {_quality('story_content')} AS q, CAST(platform = 'Indiegogo' AS INTEGER)::DOUBLE AS ig, CAST(t > TIMESTAMP '2022-11-30 00:00:00' AS INTEGER)::DOUBLE AS po, CASE WHEN goal > 0 THEN ln(greatest(goal, 1)) END AS lg, coalesce(len({_words('story_content')}), 0)::DOUBLE AS wc,
+ coalesce(pct >= 100, false) OR coalesce(state = 'successful', false) AS won FROM c WHERE t IS NOT NULL)"""
+_BASIC = {"text_quality": "q", "indiegogo": "ig", "PostGPT": "po", "text_quality:indiegogo": "q * ig", "text_quality:PostGPT": "q * po", "indiegogo:PostGPT": "ig * po"}
+_MORE = _BASIC | {"log_goal": "lg", "word_count": "wc"}
+
+
+def _swept(name: str, columns: dict[str, str], keep: str) -> str:
+    """Least squares in SQL: the cross products of centred columns, swept on one column after the other."""
+    k, cols = len(columns), [*columns.values(), "y"]
+    v = f"v AS (SELECT {', '.join(f'({c}) - avg({c}) OVER () AS c{i}' for i, c in enumerate(cols))} FROM x WHERE {keep})"
+    steps = [f"g0 AS (SELECT count(*)::DOUBLE AS n, {', '.join(f'sum(c{i} * c{j}) AS a{i}_{j}' for i in range(k + 1) for j in range(k + 1))}, sum(c{k} * c{k}) AS yy FROM v)"]
+    for p in range(k):
+        new = lambda i, j: f"-1 / a{p}_{p}" if i == j == p else f"a{i}_{j} / a{p}_{p}" if p in (i, j) else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p}"  # noqa: B023, E731
+        steps.append(f"g{p + 1} AS (SELECT n, yy, {', '.join(f'{new(i, j)} AS a{i}_{j}' for i in range(k + 1) for j in range(k + 1))} FROM g{p})")
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS term, a{i}_{k} AS coef, sqrt(-a{i}_{i} * a{k}_{k} / (n - {k + 1})) AS se, 1 - a{k}_{k} / yy AS r2, n, n - {k + 1} AS df FROM g{k}" for i, t in enumerate(columns))
+    return f"SELECT '{name}' AS model, * FROM (WITH {v}, {', '.join(steps)} {rows})"
+
+
+_FITTED = " UNION ALL ".join(_swept(n, c, w) for n, c, w in (("M1", _BASIC, "true"), ("M2", _MORE, "lg IS NOT NULL"), ("successful M1", _BASIC, "won"), ("successful M2", _MORE, "won AND lg IS NOT NULL")))
+
+
+@query(f"""WITH {_CAMPAIGNS}, l AS ({_FITTED}), t AS (SELECT *, coef / se AS t FROM l), p AS (SELECT model, term, abs(1 - 2 * sum(w * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + pow(i * abs(t) / 2000, 2) / df, -(df + 1) / 2)) * max(abs(t)) / 2000 / 3) AS p FROM t, {_SIMPSON} GROUP BY 1, 2)
+SELECT model, term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 4) AS t, round(p, 5) AS p, round(r2, 8) AS r2, CAST(n AS BIGINT) AS n, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p < 0.1 THEN '.' ELSE '' END AS stars FROM t JOIN p USING (model, term)""")
+def ols_ladder_basic(spark: SparkSession, d: str) -> DataFrame:
+    """M1 and M2 of both samples, with what SQL can solve: coefficients, standard errors, t, p, R2, stars."""
+    c = ols_ladder(spark, d).filter(F.col("model").isin("M1", "M2", "successful M1", "successful M2") & (F.col("term") != "Intercept"))
+    return c.select("model", "term", *[F.round(k, n).alias(k) for k, n in (("coef", 6), ("se", 6), ("t", 4), ("p", 5), ("r2", 8))], "n", "stars")
+
+
 @query()
 def ols_table(spark: SparkSession, d: str) -> DataFrame:
     """The table of the study, terms by models; without SQL."""

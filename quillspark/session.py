@@ -56,6 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillspark-checkpoint"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
