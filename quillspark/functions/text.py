@@ -6,6 +6,7 @@ characters are letters, digits and the underscore of any script.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 # Fixed values.
 WS_CHARS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = f"[{WS_CHARS}]+"
+PLAIN_WS = r"[\s\x{0B}\x{1C}-\x{1F}]+"  # the same for ASCII
 TOKEN = rf"[\p{{L}}\p{{N}}_]+(?:[-'’][\p{{L}}\p{{N}}_]+)*|[^\p{{L}}\p{{N}}_{WS_CHARS}]"
 WORD = r"[\p{L}\p{N}_]+(?:[-'’][\p{L}\p{N}_]+)*"
 ALPHA = r"[\p{L}\p{N}_]+"
@@ -28,9 +30,20 @@ CHALLENGE = ["Just a moment...", "challenge-platform/h/g/orchestrate/chl_page",
 GRAMMAR_RULES = [r"(?i)\b(?:the the|a a|and and|of of|to to|in in|is is)\b", r" [,;:!?]", r"[,;][a-z]", r"(?:^| )i(?: |$)", r"[,;:]{2,}|!{2,}|\?{2,}"]
 
 
+def holds_text(text: Column) -> Column:
+    """Whether there is anything but white space: the search ends at the first such character."""
+    return text.rlike(f"[^{WS_CHARS}]")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(text: Column) -> Column:
-    """White-space tokens (D1); null text gives null."""
-    return F.filter(F.split(text, WS), lambda w: w != "")
+    """White-space tokens (D1); null text gives null.  Most texts are ASCII, where few characters are white space."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.filter(F.when(plain, F.split(text, PLAIN_WS)).otherwise(F.split(text, WS)), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -40,7 +53,7 @@ def word_count(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between ends of sentences that aren't blank."""
-    return F.filter(F.split(text, SENTENCE_BREAK), lambda s: F.regexp_replace(s, WS, "") != "")
+    return F.filter(F.split(text, SENTENCE_BREAK), holds_text)
 
 
 def tokens(text: Column) -> Column:
@@ -55,12 +68,14 @@ def alpha_tokens(text: Column) -> Column:
 
 def simple_quality(text: Column) -> Column:
     """Word length times sentence length, each scaled, in 0..1; blank and null give 0."""
-    w = words(text)
-    n = F.size(w).cast("double")
-    stops = F.greatest(F.size(F.filter(F.split(text, r"\."), lambda s: F.regexp_replace(s, WS, "") != "")), F.lit(1))
-    chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(F.btrim(x, F.lit(".,!?"))))
-    score = F.least(F.lit(1.0), chars / n / 10.0 * (F.least(n / stops, F.lit(20.0)) / 20.0))
-    return F.when(F.coalesce(F.size(w), F.lit(0)) > 0, score).otherwise(0.0)
+    stops = F.greatest(F.size(F.filter(F.split(text, r"\."), holds_text)), F.lit(1))
+
+    def score(w: Column) -> Column:
+        n = F.size(w).cast("double")
+        chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(F.btrim(x, F.lit(".,!?"))))
+        return F.when(F.coalesce(F.size(w), F.lit(0)) > 0, F.least(F.lit(1.0), chars / n / 10.0 * (F.least(n / stops, F.lit(20.0)) / 20.0))).otherwise(0.0)
+
+    return once(words(text), score)
 
 
 def issue_count(text: Column, rules: list[str] = GRAMMAR_RULES) -> Column:
@@ -141,7 +156,11 @@ def _like_pairs(texts: pd.Series) -> pd.Series:
                 holds.setdefault(w, []).append(i)
         return pairs / n
 
-    return pd.Series([one(t) for t in texts], dtype="float64")
+    seen: dict[str | None, float | None] = {}  # repeated crawls bring the same text; within a batch it is read once
+    for t in texts:
+        if t not in seen:
+            seen[t] = one(t)
+    return pd.Series([seen[t] for t in texts], dtype="float64")
 
 
 def repetition(text: Column) -> Column:
@@ -162,7 +181,7 @@ def text_arrays(df: DataFrame, text: Column) -> DataFrame:
 
 def linguistic_features(text: Column, stop_words: list[str]) -> dict[str, Column]:
     """The seventeen features of D5-D13 over a table with `text_arrays`; null and blank texts give zeros."""
-    blank = F.coalesce(F.regexp_replace(text, WS, "") == "", F.lit(True))
+    blank = F.coalesce(~holds_text(text), F.lit(True))
     n, s, c, total = F.size("_tok"), F.size("_sents"), F.length(text), F.size("_low")
     share = lambda names: F.when(total > 0, F.size(F.filter("_low", lambda w: w.isin(*names))) / total).otherwise(0.0)
     out = {
@@ -181,8 +200,7 @@ def linguistic_features(text: Column, stop_words: list[str]) -> dict[str, Column
 
 def phrase_count(text: Column, phrases: list[str] = PHRASES) -> Column:
     """How many different phrases occur, whatever their case."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a + b, [F.coalesce(low.contains(p), F.lit(False)).cast("int") for p in phrases])
+    return once(F.lower(text), lambda low: reduce(lambda a, b: a + b, [F.coalesce(low.contains(p), F.lit(False)).cast("int") for p in phrases]))
 
 
 def ai_score(f: dict[str, Column]) -> Column:

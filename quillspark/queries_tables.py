@@ -167,7 +167,7 @@ def keyword_by_role(spark: SparkSession, d: str) -> DataFrame:
     """Texts that aren't blank, and those with a term, by the role of their table."""
     u = table(spark, d, "updates").select(F.lit("updates").alias("role"), F.col("body").alias("t"))
     s = table(spark, d, "stories").select(F.lit("stories").alias("role"), F.col("story_content").alias("t"))
-    x = u.unionByName(s).filter(F.col("t").isNotNull() & (F.regexp_replace("t", WS, "") != ""))
+    x = u.unionByName(s).filter(F.col("t").isNotNull() & X.holds_text(F.col("t")))
     return x.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("t").rlike(r"(?i)\b(warranty|prototype|prototypes)\b")).alias("n_hits"))
 
 

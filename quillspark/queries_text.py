@@ -161,7 +161,7 @@ def repetition(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of like sentences."""
     ship_package(spark)
     x = table(spark, d, "documents")
-    blank = F.coalesce(F.regexp_replace("text", WS, "") == "", F.lit(True))
+    blank = F.coalesce(~X.holds_text(F.col("text")), F.lit(True))
     return x.select("doc_id", F.round(F.when(blank, 0.0).otherwise(X.repetition(F.col("text"))), 9).alias("repetition"))
 
 
