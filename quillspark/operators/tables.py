@@ -50,6 +50,13 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded as DuckDB does: the scaled double, halves away from zero.  F.round goes by the shortest decimal
+    instead, so 1.27205 (a little less in binary) would be 1.2721, not 1.272.  NaN, infinities and what overflows stay."""
+    y = F.round(x * 10.0**places) / 10.0**places
+    return F.when(F.abs(y) == float("inf"), x).otherwise(y)
+
+
 def clean_id(col: Column) -> Column:
     """A suffix .0 is cut off."""
     return F.regexp_replace(col, r"\.0$", "")

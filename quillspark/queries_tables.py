@@ -51,10 +51,10 @@ def _std(cols: list[str], platform: str) -> str:
 
 @query(_std(KS, "Kickstarter") + " UNION ALL " + _std(IG, "Indiegogo"))
 def standardize_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two sources under one schema, both amounts as doubles."""
+    """Two sources under one schema, both amounts as doubles; NaN stays NaN, null stays null."""
     c = table(spark, d, "combined_all_columns")
     parts = [T.standardise(c.filter(F.col("platform") == p), dict(zip(TARGETS, cols)), p) for p, cols in (("Kickstarter", KS), ("Indiegogo", IG))]
-    return T.union_all(*parts).withColumns({a: F.round(F.col(a).cast("double"), 4) for a in ("pledged_amount", "goal_amount")})
+    return T.union_all(*parts).withColumns({a: T.rounded(F.col(a).cast("double"), 4) for a in ("pledged_amount", "goal_amount")})
 
 
 @query("SELECT row_id, round(TRY_CAST(replace(CAST(backers_count AS VARCHAR) || '%', '%', '') AS DOUBLE), 6) AS share, CASE WHEN regexp_matches(deadline, '^[0-9]+$') THEN TRY_CAST(deadline AS DOUBLE) END AS other FROM combined_all_columns")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from quillspark.operators import eventlog as L
 from quillspark.operators import scoring as S
 from quillspark.operators import tables as B
 from quillspark.queries_data import QUERIES as QUERIES_DATA
+from quillspark.queries_tables import QUERIES as QUERIES_TABLES
+from quillspark.queries_tables import SQL as SQL_TABLES
 from quillspark.queries_tables import wall_clock_iso
 from quillspark.queries_text import QUERIES as QUERIES_TEXT
 from quillspark.sources import io
@@ -328,6 +331,23 @@ def test_preparation_time_of_every_row(spark, tmp_path):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: None, 6: None, 7: None, 8: None, 9: -2, 10: 0}
 
 
+def test_amounts_are_rounded_as_in_sql(spark, data, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    amounts = [1.27205, 0.26685, 0.36415, 16.00295, 49.12105, -2.70645, 0.00005, 0.12345, 2.5, 1e305, -1e305, inf, -inf, nan, None, 0.0, 450359962737.04955]
+    rows = [(i, p, str(i), x, y) for i, (x, y) in enumerate(zip(amounts, reversed(amounts))) for p in ("Kickstarter", "Indiegogo")]
+    given = spark.createDataFrame(rows, "row_id long, platform string, id string, pledged double, goal double")
+    like = spark.read.parquet(f"{data}/sf0.001/combined_all_columns.parquet").limit(0)
+    like.unionByName(given, allowMissingColumns=True).write.parquet(f"{tmp_path}/combined_all_columns.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW combined_all_columns AS SELECT * FROM '{tmp_path}/combined_all_columns.parquet/*.parquet'")
+    text = lambda v: v if v is None else repr(v + 0.0)  # noqa: E731, NaN equals NaN, but not null
+    want = con.execute(f"SELECT platform, id, pledged_amount, goal_amount FROM ({SQL_TABLES['standardize_union']})").fetchall()
+    got = QUERIES_TABLES["standardize_union"](spark, str(tmp_path)).select("platform", "id", "pledged_amount", "goal_amount").collect()
+    told = lambda rows: {(p, i): (text(x), text(y)) for p, i, x, y in rows}
+    assert len(got) == len(want) == len(rows) and told(got) == told(want)
+    assert told(got)["Kickstarter", "0"][0] == "1.272" and told(got)["Indiegogo", "13"][0] == "nan" and told(got)["Kickstarter", "14"][0] is None
+
+
 def hot(spark, n=3000):
     """Rows of which a third has one key, with ties, nulls and repeats."""
     rng = np.random.default_rng(6)
